@@ -37,9 +37,10 @@ def epoch_hours(time: Column | str) -> Column:
 
 
 def age_at(time: Column | str, anchor_year: Column | str, anchor_age: Column | str) -> Column:
-    """Age in years of 365 days counted from 1 January of the anchor year."""
-    january = F.make_date(_col(anchor_year), F.lit(1), F.lit(1))
-    return (F.floor(F.datediff(_col(time), january) / F.lit(365.0)) + _col(anchor_age)).cast("long")
+    """Whole days since 1 January of the anchor year in years of 365 days, plus the age back then."""
+    january = F.make_timestamp_ntz(_col(anchor_year), *[F.lit(v) for v in (1, 1, 0, 0, 0)])
+    days = F.extract(F.lit("DAY"), _col(time) - january)
+    return (F.floor(days / F.lit(365.0)) + _col(anchor_age)).cast("long")
 
 
 def whole_hours_between(start: Column | str, end: Column | str) -> Column:

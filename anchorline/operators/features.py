@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.ordered import row_numbers, with_order_bucket
-from anchorline.functions.times import plus_hours
+from anchorline.functions.times import plus_hours, strictly_between
 from anchorline.operators.intervals import point_in_interval_join
 
 STATISTICS = ("max", "min", "avg", "sd", "first", "last")
@@ -26,11 +26,51 @@ def name_concepts(measurements: DataFrame, concept: DataFrame) -> DataFrame:
     )
 
 
+Windows = Mapping[str, tuple[int, int]]
+
+
+def _widest_window(
+    measurements: DataFrame,
+    concept: DataFrame,
+    cohort: DataFrame,
+    runs: Sequence[Windows],
+    keys: Sequence[str],
+    on: str,
+    anchor: str,
+    concept_ids: Sequence[int] | None,
+    salts: int,
+) -> DataFrame:
+    """Named measurements of the listed families inside the widest window of all runs, with ``__anchor``."""
+    rows = measurements.where(F.col("value_as_number").isNotNull())
+    if concept_ids:
+        rows = filter_concepts(rows, concept_ids)
+    families = sorted({f for windows in runs for f in windows})
+    before = max(b for windows in runs for b, _ in windows.values())
+    after = max(a for windows in runs for _, a in windows.values())
+    named = name_concepts(rows, concept.where(F.col("family").isin(families)))
+    members = cohort.select(
+        *dict.fromkeys([*keys, on]),
+        F.col(anchor).alias("__anchor"),
+        plus_hours(anchor, -before).alias("__from"),
+        plus_hours(anchor, after).alias("__to"),
+    )
+    joined = point_in_interval_join(
+        named, members, [on], "measurement_datetime", "__from", "__to", closed=False,
+        slot_hours=max(24, before + after), salts=salts,
+    )
+    return joined.drop("__from", "__to")
+
+
+def _inside(before: Column | int, after: Column | int) -> Column:
+    low, high = plus_hours("__anchor", -before), plus_hours("__anchor", after)
+    return strictly_between("measurement_datetime", low, high)
+
+
 def window_measurements(
     measurements: DataFrame,
     concept: DataFrame,
     cohort: DataFrame,
-    windows: Mapping[str, tuple[int, int]],
+    windows: Windows,
     keys: Sequence[str] = ("micro_specimen_id",),
     on: str = "person_id",
     anchor: str = "anchor_time",
@@ -42,29 +82,41 @@ def window_measurements(
     One scan serves all families: the interval join uses the widest window and the family's own bounds
     are tested on its output. Concepts outside the listed families are dropped.
     """
-    rows = filter_concepts(measurements, concept_ids) if concept_ids else measurements.where(
-        F.col("value_as_number").isNotNull()
+    joined = _widest_window(measurements, concept, cohort, [windows], keys, on, anchor, concept_ids, salts)
+    bounds = F.lit(False)
+    for family, (before, after) in windows.items():
+        bounds = bounds | ((F.col("family") == family) & _inside(before, after))
+    return joined.where(bounds).drop("__anchor")
+
+
+def sweep_windows(
+    measurements: DataFrame,
+    concept: DataFrame,
+    cohort: DataFrame,
+    runs: Mapping[str, Windows],
+    keys: Sequence[str] = ("micro_specimen_id",),
+    on: str = "person_id",
+    anchor: str = "anchor_time",
+    concept_ids: Sequence[int] | None = None,
+    salts: int = 1,
+) -> DataFrame:
+    """The windows of many runs from one scan and one join, told apart by ``run_id``."""
+    joined = _widest_window(
+        measurements, concept, cohort, list(runs.values()), keys, on, anchor, concept_ids, salts
     )
-    named = name_concepts(rows, concept.where(F.col("family").isin(list(windows))))
-    before = max(b for b, _ in windows.values())
-    after = max(a for _, a in windows.values())
-    members = cohort.select(
-        *dict.fromkeys([*keys, on]),
-        F.col(anchor).alias("__anchor"),
-        plus_hours(anchor, -before).alias("__from"),
-        plus_hours(anchor, after).alias("__to"),
+    spans = F.array(
+        *[
+            F.struct(
+                F.lit(run).alias("run_id"), F.lit(family).alias("f"), F.lit(b).alias("b"), F.lit(a).alias("a")
+            )
+            for run, windows in runs.items()
+            for family, (b, a) in windows.items()
+        ]
     )
-    joined = point_in_interval_join(
-        named, members, [on], "measurement_datetime", "__from", "__to", closed=False,
-        slot_hours=max(24, before + after), salts=salts,
+    fitting = F.filter(spans, lambda r: (r["f"] == F.col("family")) & _inside(r["b"], r["a"]))
+    return joined.withColumn("__run", F.explode(fitting)).withColumn("run_id", F.col("__run.run_id")).drop(
+        "__run", "__anchor"
     )
-    bounds = F.lit(False)
-    for family, (b, a) in windows.items():
-        inside = (F.col("measurement_datetime") > plus_hours("__anchor", -b)) & (
-            F.col("measurement_datetime") < plus_hours("__anchor", a)
-        )
-        bounds = bounds | ((F.col("family") == family) & inside)
-    return joined.where(bounds).drop("__anchor", "__from", "__to")
 
 
 def sequence_numbers(
@@ -170,12 +222,18 @@ def feature_views(columns: Sequence[str], families: Mapping[str, Sequence[str]])
 
 
 def matrix(
-    cohort: DataFrame, statics: DataFrame, features: DataFrame, outcome: DataFrame, keys: Sequence[str]
+    cohort: DataFrame,
+    features: DataFrame,
+    outcome: DataFrame,
+    keys: Sequence[str],
+    statics: DataFrame | None = None,
 ) -> DataFrame:
-    """Members with static attributes and features, and their outcome time."""
+    """Members with anchor time, features, outcome time and, where given, static attributes."""
     keys = list(keys)
-    members = cohort.select(*keys, *[c for c in ("anchor_time",) if c in cohort.columns])
-    return members.join(statics, keys).join(features, keys).join(outcome, keys)
+    rows = cohort.select(*keys, *[c for c in ("anchor_time",) if c in cohort.columns])
+    if statics is not None:
+        rows = rows.join(statics, keys)
+    return rows.join(features, keys).join(outcome, keys)
 
 
 def whole_partition_stats(df: DataFrame, key: str, value: str) -> DataFrame:

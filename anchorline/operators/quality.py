@@ -14,13 +14,13 @@ LABS_SENTINEL = 999999
 REJECT_SD = 3.0
 
 
-def _weighted_moments(counts: DataFrame, by: str) -> DataFrame:
+def _weighted_moments(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean and sample deviation per group from (group, value, n), deviations taken from the mean."""
-    means = counts.groupBy(by).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
+    means = counts.groupBy(*by).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
     spread = F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)
     return (
-        counts.join(means, by)
-        .groupBy(by)
+        counts.join(means, list(by))
+        .groupBy(*by)
         .agg(
             F.first("mean").alias("mean"),
             F.sqrt(F.try_divide(F.sum(spread), F.sum("n") - 1)).alias("sd"),
@@ -30,7 +30,7 @@ def _weighted_moments(counts: DataFrame, by: str) -> DataFrame:
 
 def reject_outliers(
     long: DataFrame,
-    by: str = "concept_name",
+    by: Sequence[str] = ("concept_name",),
     value: str = "value_as_number",
     quantile: float | None = None,
     sentinel: float | None = None,
@@ -42,12 +42,13 @@ def reject_outliers(
     from ``sentinel``. Groups whose deviation is zero or undefined lose all rows. Everything except
     the last filter works on distinct values per group, not on the rows.
     """
-    counts = value_counts(long, [by], value)
+    by = list(by)
+    counts = value_counts(long, by, value)
     reference = counts
     if sentinel is not None:
         reference = reference.where(F.col("value") != sentinel)
     if quantile is not None:
-        limits = quantiles_of_counts(counts, [by], {"__limit": quantile})
+        limits = quantiles_of_counts(counts, by, {"__limit": quantile})
         reference = reference.join(limits, by).where(F.col("value") < F.col("__limit")).drop("__limit")
     moments = _weighted_moments(reference, by)
     distance = F.abs(F.try_divide(F.col(value) - F.col("mean"), F.col("sd")))
