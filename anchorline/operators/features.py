@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from anchorline.functions.ordered import row_numbers, with_order_bucket
 from anchorline.functions.times import plus_hours, strictly_between
@@ -259,3 +259,13 @@ def first_known_value(df: DataFrame, key: str, value: str, order: Sequence[str])
     return df.join(ends, key)
 
 
+
+
+def rank_candidates(candidates: DataFrame, group: Sequence[str], score: str, listed: str) -> DataFrame:
+    """Rank 1 for the best mean score of a group, the first listed candidate winning ties.
+
+    The input has one row per candidate of a search, so its windows are small. Scores are compared to
+    nine digits: sums in another order must not break a tie.
+    """
+    order = Window.partitionBy(*group).orderBy(F.round(score, 9).desc(), listed)
+    return candidates.withColumn("rank", F.row_number().over(order).cast("long"))

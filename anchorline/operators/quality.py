@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -203,3 +204,12 @@ def validate_matrix(df: DataFrame, columns: Sequence[str], fitted: Sequence[str]
     if empty:
         raise ValueError(f"all rows are missing in {empty}")
     return any(r["missing"] for r in rows)
+
+
+def shape_report(stages: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows and columns of every stage table."""
+    rows = [
+        df.agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+        for name, df in stages.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)

@@ -50,3 +50,24 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
 
 def scale(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
     return {"none": lambda d, c: d, "standard": standard_scale, "minmax": minmax_scale}[how](df, columns)
+
+
+def all_scalings(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Unscaled, standardised and min-max form of every row, told apart by ``scaling``, in one pass."""
+    makers = {"mean": F.avg, "sd": F.stddev_pop, "low": F.min, "high": F.max}
+    stats = df.agg(*[make(c).alias(f"{name}__{c}") for name, make in makers.items() for c in columns])
+
+    def standard(c: str) -> Column:
+        sd = F.col(f"__s.sd__{c}")
+        return (F.col(c) - F.col(f"__s.mean__{c}")) / F.when(sd == 0, 1.0).otherwise(sd)
+
+    def minmax(c: str) -> Column:
+        low = F.col(f"__s.low__{c}")
+        return F.try_divide(F.col(c) - low, F.col(f"__s.high__{c}") - low)
+
+    forms = {"none": F.col, "standard": standard, "minmax": minmax}
+    rows = F.array(
+        *[F.struct(F.lit(name).alias("scaling"), *[form(c).alias(c) for c in columns]) for name, form in forms.items()]
+    )
+    attached = df.withColumn("__s", stats.select(F.struct(*stats.columns)).scalar())
+    return attached.select(*keys, F.inline(rows))

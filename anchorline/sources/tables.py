@@ -70,7 +70,7 @@ def append_rows(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
 
 
 def store_scores(scores: DataFrame, path: str) -> DataFrame:
