@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from anchorline.operators import cohort as members, features as feats
 from anchorline.operators.labels import label_outcome
+from anchorline.session import cut_lineage
 from anchorline.sources import hospital
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +81,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_outcome(matrix(spark, sf_dir), 0, 7)
 
 
+def fixed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled matrix, checkpointed: fits read it again and again."""
+    return cut_lineage(labelled(spark, sf_dir))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions without a model, as FIXTURES.md has them: many ties, one group per event type."""
     return hospital.table(spark, sf_dir, "events").select(

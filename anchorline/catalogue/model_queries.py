@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.catalogue.base import COLUMNS, FEATURES, KEYS, labelled, query
+from anchorline.catalogue.base import COLUMNS, FEATURES, KEYS, fixed_matrix, query
 from anchorline.operators import features as feats, impute, labels, models, scaling, stacking
 from anchorline.plans.runs import Suite, run_all_targets, run_model_suite
 from anchorline.session import scratch_path
@@ -22,7 +22,7 @@ PERCEPTRON = models.perceptron(10, maxIter=30)
 
 def prepared(spark, sf_dir):
     """The labelled matrix, standardised, gaps at the column mean, and without early deaths."""
-    rows = labels.censor_early(labelled(spark, sf_dir), 0)
+    rows = labels.censor_early(fixed_matrix(spark, sf_dir), 0)
     return impute.impute_mean(scaling.standard_scale(rows, FEATURES), FEATURES)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.catalogue.base import FEATURES, long, matrix, query, r6, rounded
+from anchorline.catalogue.base import FEATURES, fixed_matrix, long, matrix, query, r6, rounded
 from anchorline.operators import impute, quality, scaling
 from anchorline.sources import hospital
 
@@ -42,14 +42,14 @@ def reject_outliers_labs(spark, sf_dir):
 )
 def drop_low_coverage(spark, sf_dir):
     """The kept columns depend on the data, so the check compares them in long form."""
-    kept = quality.drop_low_coverage(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES, 25)
+    kept = quality.drop_low_coverage(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES, 25)
     columns = [c for c in kept.columns if c != ID]
     return rounded(kept.unpivot([ID], columns, "column_name", "value"), ["value"])
 
 
 @query("standard_scale", f"SELECT micro_specimen_id, {r6(FEATURES)} FROM scaled")
 def standard_scale(spark, sf_dir):
-    return rounded(scaling.standard_scale(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
+    return rounded(scaling.standard_scale(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
 
 
 @query(
@@ -71,7 +71,7 @@ def standard_scale_all_but_key(spark, sf_dir):
     + " FROM matrix",
 )
 def minmax_rescale(spark, sf_dir):
-    return rounded(scaling.minmax_scale(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
+    return rounded(scaling.minmax_scale(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
 
 
 def _filled_sql(value: str) -> str:
@@ -84,12 +84,12 @@ def _filled_sql(value: str) -> str:
 
 @query("impute_mean", _filled_sql("avg({c}) OVER ()"))
 def impute_mean(spark, sf_dir):
-    return rounded(impute.impute_mean(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
+    return rounded(impute.impute_mean(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
 
 
 @query("impute_median", _filled_sql("(SELECT quantile_cont({c}, 0.5) FROM matrix)"))
 def impute_median(spark, sf_dir):
-    return rounded(impute.impute_median(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
+    return rounded(impute.impute_median(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES), FEATURES)
 
 
 @query(
@@ -128,12 +128,12 @@ def _knn_sql(k: int = 5) -> str:
 
 @query("impute_knn", _knn_sql())
 def impute_knn(spark, sf_dir):
-    scaled = scaling.standard_scale(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
+    scaled = scaling.standard_scale(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
     return rounded(impute.impute_knn(scaled, ID, FEATURES), FEATURES)
 
 
 def _scaled(spark, sf_dir):
-    return scaling.standard_scale(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
+    return scaling.standard_scale(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
 
 
 AVERAGES = [c for c in FEATURES if c.endswith(("_avg", "_max"))]
@@ -169,7 +169,7 @@ def imputers(rounds: int = 2, trees: int = 10, depth: int = 5) -> dict:
 @query("impute_compare")
 def impute_compare(spark, sf_dir):
     """All six imputers on the unscaled averages and maxima, as the published comparison has it."""
-    rows = matrix(spark, sf_dir).select(ID, *AVERAGES)
+    rows = fixed_matrix(spark, sf_dir).select(ID, *AVERAGES)
     return impute.impute_compare(rows, ID, AVERAGES, imputers(), [0.2])
 
 
@@ -184,7 +184,7 @@ PROFILE = ["mean", "sd", "minimum", "maximum", "q1", "median", "q3"]
        round(quantile_cont(value, 0.75), 6) AS q3 FROM melted GROUP BY column_name""",
 )
 def column_profile(spark, sf_dir):
-    return rounded(quality.column_profile(matrix(spark, sf_dir), FEATURES), PROFILE)
+    return rounded(quality.column_profile(fixed_matrix(spark, sf_dir), FEATURES), PROFILE)
 
 
 @query(
@@ -215,7 +215,7 @@ _BOUNDS = {
     ),
 )
 def anomaly_summary(spark, sf_dir):
-    rows = matrix(spark, sf_dir)
+    rows = fixed_matrix(spark, sf_dir)
     parts = [quality.anomaly_summary(rows, FEATURES, rule).withColumn("rule", F.lit(rule)) for rule in _BOUNDS]
     return parts[0].unionByName(parts[1])
 
@@ -227,7 +227,7 @@ def anomaly_summary(spark, sf_dir):
         FROM melted m JOIN bounds b ON b.column_name = m.column_name""",
 )
 def anomaly_correction(spark, sf_dir):
-    corrected = quality.correct_anomalies(matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
+    corrected = quality.correct_anomalies(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
     return rounded(corrected.unpivot([ID], FEATURES, "column_name", "value"), ["value"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorline.catalogue.base import (
-    COLUMNS, FEATURES, KEYS, STAT_SQL, anchored, labelled, matrix, query, r6, rounded,
+    COLUMNS, FEATURES, KEYS, STAT_SQL, anchored, fixed_matrix, labelled, matrix, query, r6, rounded,
 )
 from anchorline.catalogue.sampling import ID, RANKED_SQL, RATIO_SQL, class_ratio_samples
 from anchorline.operators import features as feats, labels, quality, scaling
@@ -73,4 +73,4 @@ def sweep_missingness(spark, sf_dir):
             for c in FEATURES)} FROM matrix""",
 )
 def sweep_scaling(spark, sf_dir):
-    return rounded(scaling.all_scalings(matrix(spark, sf_dir), ID, FEATURES), FEATURES)
+    return rounded(scaling.all_scalings(fixed_matrix(spark, sf_dir), ID, FEATURES), FEATURES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,26 +10,25 @@ from anchorline.functions.ordered import quantiles_of_counts, value_counts
 from anchorline.operators.quality import melt
 
 
-def _fill(df: DataFrame, columns: Sequence[str], row: DataFrame) -> DataFrame:
-    """Coalesce every column with its entry in a one-row frame of the same column names."""
-    attached = df.withColumn("__fill", row.select(F.struct(*columns)).scalar())
-    return attached.select(
-        *[F.coalesce(F.col(c), F.col(f"__fill.{c}")).alias(c) if c in columns else F.col(c) for c in df.columns]
+def _fill(df: DataFrame, columns: Sequence[str], values: Mapping[str, object]) -> DataFrame:
+    """Coalesce every column with its number; the numbers are literals, one per column."""
+    return df.select(
+        *[F.coalesce(F.col(c), F.lit(values[c])).alias(c) if values.get(c) is not None else F.col(c) for c in df.columns]
     )
 
 
-def _as_row(per_column: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
-    return per_column.agg(*[F.max(F.when(F.col("column_name") == c, F.col(value))).alias(c) for c in columns])
+def _per_column(table: DataFrame, value: str) -> dict[str, object]:
+    return {r["column_name"]: r[value] for r in table.select("column_name", value).collect()}
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _fill(df, columns, df.agg(*[F.avg(c).alias(c) for c in columns]))
+    return _fill(df, columns, df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict())
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = value_counts(melt(df, columns), ["column_name"], "value")
     medians = quantiles_of_counts(counts, ["column_name"], {"median": 0.5})
-    return _fill(df, columns, _as_row(medians, columns, "median"))
+    return _fill(df, columns, _per_column(medians, "median"))
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -46,4 +45,4 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _fill(df, columns, _as_row(modes(df, columns), columns, "mode"))
+    return _fill(df, columns, _per_column(modes(df, columns), "mode"))

@@ -58,9 +58,15 @@ def in_threads(spark: SparkSession, jobs: Sequence[Callable[[], object]], parall
 def model_frame(
     df: DataFrame, ids: Sequence[str], features: Sequence[str], target: str = "target", k: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Ids, features, ``label`` as a double and stratified ``fold``."""
+    """Ids, features, ``label`` as a double and stratified ``fold``, in partitions sized for fitting."""
     rows = df.select(*ids, *features, F.col(target).cast("int").cast("double").alias("label"))
-    return stratified_folds(rows, "label", ids, k, seed)
+    return fit_sized(stratified_folds(rows, "label", ids, k, seed), len(features))
+
+
+def fit_sized(df: DataFrame, width: int, part_bytes: int = 16 << 20) -> DataFrame:
+    """Partitions of about 16 MB of features. A fit runs one small job per iteration, so on little data
+    the number of tasks, and not the data, would set its time; on much data the count grows with it."""
+    return df.repartition(max(1, -(-df.count() * width * 8 // part_bytes)))
 
 
 def with_weights(df: DataFrame, weights: Sequence[float]) -> DataFrame:

@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def _project(df: DataFrame, columns: Sequence[str], stats: DataFrame, formula) -> DataFrame:
-    """Apply ``formula(column, stats row)``; the one-row statistics enter as a scalar subquery."""
-    attached = df.withColumn("__s", stats.select(F.struct(*stats.columns)).scalar())
-    return attached.select(*[formula(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+def _fit(df: DataFrame, columns: Sequence[str], makers: Mapping[str, Callable]) -> dict[str, dict[str, float | None]]:
+    """One aggregate over the rows; its single row comes to the driver, like any fitted scaler."""
+    row = df.agg(*[make(c).alias(f"{name}__{c}") for name, make in makers.items() for c in columns]).first()
+    return {c: {name: row[f"{name}__{c}"] for name in makers} for c in columns}
+
+
+MOMENTS = {"mean": F.avg, "sd": F.stddev_pop}
+ENDS = {"low": F.min, "high": F.max}
+
+
+def _standard(c: str, fitted: Mapping[str, float | None]) -> Column:
+    sd = 1.0 if fitted["sd"] == 0 else fitted["sd"]
+    return ((F.col(c) - F.lit(fitted["mean"])) / F.lit(sd)).cast("double")
+
+
+def _minmax(c: str, fitted: Mapping[str, float | None]) -> Column:
+    low, high = fitted["low"], fitted["high"]
+    width = None if low is None or high == low else high - low
+    return ((F.col(c) - F.lit(low)) / F.lit(width)).cast("double")
+
+
+def _apply(df: DataFrame, columns: Sequence[str], form: Callable, fitted: Mapping[str, Mapping]) -> DataFrame:
+    return df.select(*[form(c, fitted[c]).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -18,16 +37,7 @@ def standard_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | No
 
     ``fit_on`` takes the moments from other rows, for instance the training part.
     """
-    source = df if fit_on is None else fit_on
-    stats = source.agg(
-        *[F.avg(c).alias(f"mean__{c}") for c in columns], *[F.stddev_pop(c).alias(f"sd__{c}") for c in columns]
-    )
-
-    def scaled(c: str) -> Column:
-        sd = F.col(f"__s.sd__{c}")
-        return (F.col(c) - F.col(f"__s.mean__{c}")) / F.when(sd == 0, 1.0).otherwise(sd)
-
-    return _project(df, columns, stats, scaled)
+    return _apply(df, columns, _standard, _fit(df if fit_on is None else fit_on, columns, MOMENTS))
 
 
 def standard_scale_all_but(df: DataFrame, key: str) -> DataFrame:
@@ -36,16 +46,7 @@ def standard_scale_all_but(df: DataFrame, key: str) -> DataFrame:
 
 def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """(x - min) / (max - min); null where a column is constant."""
-    source = df if fit_on is None else fit_on
-    stats = source.agg(
-        *[F.min(c).alias(f"low__{c}") for c in columns], *[F.max(c).alias(f"high__{c}") for c in columns]
-    )
-
-    def scaled(c: str) -> Column:
-        low = F.col(f"__s.low__{c}")
-        return F.try_divide(F.col(c) - low, F.col(f"__s.high__{c}") - low)
-
-    return _project(df, columns, stats, scaled)
+    return _apply(df, columns, _minmax, _fit(df if fit_on is None else fit_on, columns, ENDS))
 
 
 def scale(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
@@ -54,20 +55,12 @@ def scale(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
 
 def all_scalings(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Unscaled, standardised and min-max form of every row, told apart by ``scaling``, in one pass."""
-    makers = {"mean": F.avg, "sd": F.stddev_pop, "low": F.min, "high": F.max}
-    stats = df.agg(*[make(c).alias(f"{name}__{c}") for name, make in makers.items() for c in columns])
-
-    def standard(c: str) -> Column:
-        sd = F.col(f"__s.sd__{c}")
-        return (F.col(c) - F.col(f"__s.mean__{c}")) / F.when(sd == 0, 1.0).otherwise(sd)
-
-    def minmax(c: str) -> Column:
-        low = F.col(f"__s.low__{c}")
-        return F.try_divide(F.col(c) - low, F.col(f"__s.high__{c}") - low)
-
-    forms = {"none": F.col, "standard": standard, "minmax": minmax}
+    fitted = _fit(df, columns, {**MOMENTS, **ENDS})
+    forms = {"none": lambda c, _: F.col(c), "standard": _standard, "minmax": _minmax}
     rows = F.array(
-        *[F.struct(F.lit(name).alias("scaling"), *[form(c).alias(c) for c in columns]) for name, form in forms.items()]
+        *[
+            F.struct(F.lit(name).alias("scaling"), *[form(c, fitted[c]).alias(c) for c in columns])
+            for name, form in forms.items()
+        ]
     )
-    attached = df.withColumn("__s", stats.select(F.struct(*stats.columns)).scalar())
-    return attached.select(*keys, F.inline(rows))
+    return df.select(*keys, F.inline(rows))

@@ -8,7 +8,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from anchorline.operators.models import Family, assemble, in_threads, with_weights
+from anchorline.operators.models import Family, assemble, fit_sized, in_threads, with_weights
 from anchorline.session import cut_lineage
 
 
@@ -71,4 +71,5 @@ def stack_first_level(
     The result is checkpointed: the second level reads it many times.
     """
     models = fit_first_level(df.where(~F.col("is_test")), views, families, settings, parallelism)
-    return cut_lineage(first_level_outputs(df.where("is_test"), views, models, [*ids, "label"]))
+    outputs = first_level_outputs(df.where("is_test"), views, models, [*ids, "label"])
+    return fit_sized(cut_lineage(outputs), len(models))
