@@ -147,7 +147,7 @@ def impute_forest(spark, sf_dir):
 
 @query("impute_chained")
 def impute_chained(spark, sf_dir):
-    return impute.impute_chained(_scaled(spark, sf_dir), FEATURES, max_rounds=2)
+    return impute.impute_chained(_scaled(spark, sf_dir), FEATURES)
 
 
 @query("impute_em")
@@ -162,7 +162,7 @@ def imputers(rounds: int = 2, trees: int = 10, depth: int = 5) -> dict:
         "knn": lambda df, columns: impute.impute_knn(df, ID, columns),
         "forest": lambda df, columns: impute.impute_forest(df, columns, max_rounds=rounds, trees=trees, max_depth=depth),
         "em": impute.impute_em,
-        "chained": lambda df, columns: impute.impute_chained(df, columns, max_rounds=rounds),
+        "chained": impute.impute_chained,
     }
 
 
