@@ -53,7 +53,8 @@ def specimen_matrix(
     who = members.specimen_cohort(
         sources.micro, sources.patients, sources.person, sources.admissions, sources.icustays
     )
-    anchored = members.with_anchor(who, anchor)
+    # four later steps start from the cohort, so it is made once
+    anchored = cut_lineage(members.with_anchor(who, anchor))
     rows = feats.window_measurements(
         sources.measurement, sources.concept, anchored, {"vital": vitals, "lab": labs}, concept_ids=concept_ids
     )
