@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorline.catalogue.base import (
-    COLUMNS, FEATURES, KEYS, STAT_SQL, cohort, features, labelled, long, matrix, query, r6, rounded,
+    COLUMNS, FEATURES, KEYS, STAT_SQL, cohort, features, fixed_long, labelled, long, matrix, query, r6, rounded,
 )
 from anchorline.catalogue.scans import FOLD_SCORES, event_scores
 from anchorline.functions.ordered import quantiles_of_counts, value_counts
 from anchorline.operators import cohort as members, features as feats, labels, quality
+from anchorline.session import cut_lineage
 from anchorline.sources import hospital
 
 
@@ -27,7 +28,7 @@ def _pivot(family: str):
         f"SELECT micro_specimen_id, person_id, rn, {columns} FROM sequence WHERE family = '{family}' GROUP BY 1, 2, 3",
     )
     def pivoted(spark, sf_dir):
-        numbered = feats.sequence_numbers(long(spark, sf_dir)).where(F.col("family") == family)
+        numbered = feats.sequence_numbers(fixed_long(spark, sf_dir)).where(F.col("family") == family)
         return feats.pivot_sequence(numbered, KEYS, {n: n for n in names})
 
     return pivoted
@@ -133,7 +134,7 @@ def summarise_scores(spark, sf_dir):
 )
 def boxplot_summary(spark, sf_dir):
     group = ["model", "metric"]
-    scores = event_scores(spark, sf_dir)
+    scores = cut_lineage(event_scores(spark, sf_dir))
     counts = value_counts(scores, group, "value")
     quartiles = quantiles_of_counts(counts, group, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     ends = counts.groupBy(*group).agg(F.min("value").alias("low"), F.max("value").alias("high"))
@@ -142,7 +143,7 @@ def boxplot_summary(spark, sf_dir):
 
 @query("sequence_number", "SELECT micro_specimen_id, measurement_id, person_id, concept_name, rn FROM sequence")
 def sequence_number(spark, sf_dir):
-    return feats.sequence_numbers(long(spark, sf_dir)).select(
+    return feats.sequence_numbers(fixed_long(spark, sf_dir)).select(
         "micro_specimen_id", "measurement_id", "person_id", "concept_name", "rn"
     )
 

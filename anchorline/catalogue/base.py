@@ -62,6 +62,11 @@ def long(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fixed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed measurements, checkpointed for operators that read them more than once."""
+    return cut_lineage(long(spark, sf_dir))
+
+
 def features(spark: SparkSession, sf_dir: str, statistics: Sequence[str] = feats.STATISTICS) -> DataFrame:
     return feats.feature_stats(long(spark, sf_dir), KEYS, COLUMNS, statistics, require=list(WINDOWS))
 

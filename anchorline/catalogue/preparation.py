@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from anchorline.catalogue.base import FEATURES, fixed_matrix, long, matrix, query, r6, rounded
+from anchorline.catalogue.base import FEATURES, fixed_long, fixed_matrix, matrix, query, r6, rounded
 from anchorline.operators import impute, quality, scaling
 from anchorline.sources import hospital
 
@@ -26,12 +26,12 @@ def _kept(rows):
 
 @query("reject_outliers_vitals", _rejected_sql("vital", "value_as_number < lim"))
 def reject_outliers_vitals(spark, sf_dir):
-    return _kept(quality.reject_vitals_outliers(long(spark, sf_dir).where(F.col("family") == "vital")))
+    return _kept(quality.reject_vitals_outliers(fixed_long(spark, sf_dir).where(F.col("family") == "vital")))
 
 
 @query("reject_outliers_labs", _rejected_sql("lab", "value_as_number <> 999999"))
 def reject_outliers_labs(spark, sf_dir):
-    return _kept(quality.reject_labs_outliers(long(spark, sf_dir).where(F.col("family") == "lab")))
+    return _kept(quality.reject_labs_outliers(fixed_long(spark, sf_dir).where(F.col("family") == "lab")))
 
 
 @query(

@@ -10,7 +10,7 @@ from anchorline.functions.times import parse_time
 from anchorline.operators.labels import stratified_folds
 from anchorline.sources import hospital, tables
 from anchorline.sources.schemas import fields
-from anchorline.session import scratch_path
+from anchorline.session import cut_lineage, scratch_path
 
 
 @query("scan_table", "SELECT event_id, ts, user_id, event_type, value FROM events")
@@ -83,7 +83,7 @@ def write_csv(spark, sf_dir):
 
 def event_scores(spark, sf_dir):
     """Fold scores of the model-free predictions: one 'model' per event type."""
-    folded = stratified_folds(scored(spark, sf_dir), "y", ["event_id"])
+    folded = cut_lineage(stratified_folds(scored(spark, sf_dir), "y", ["event_id"]))
     return scores_long(score_table(folded, ["model", "fold"]), ["model", "fold"], METRICS)
 
 

@@ -125,7 +125,10 @@ def sequence_numbers(
     time: str = "measurement_datetime",
     ties: Sequence[str] = ("measurement_id", "micro_specimen_id"),
 ) -> DataFrame:
-    """Running number of each measurement in its group by time, ties in a fixed order."""
+    """Running number of each measurement in its group by time, ties in a fixed order.
+
+    Reads ``long`` three times (cuts, cell counts, ranks): pass stored rows, not the join itself.
+    """
     return row_numbers(with_order_bucket(long, time), list(group), [time, *ties], "rn")
 
 

@@ -45,8 +45,8 @@ def specimen_matrix(
 ) -> DataFrame:
     """Cohort, windowed measurements without outliers, six statistics each, statics and outcome.
 
-    With ``out`` the windowed measurements are written there by run: they are read twice, for the
-    outlier limits and for the features, and the join that makes them is the dearest step.
+    The windowed measurements are written to ``out`` by run, or checkpointed: they are read for the
+    outlier limits and again for the features, and the join that makes them is the dearest step.
     """
     run_id = run_name(anchor, vitals, labs)
     keys = list(SPECIMEN_KEYS)
@@ -61,6 +61,8 @@ def specimen_matrix(
     if out:
         stored = tables.write_table(rows.withColumn("run_id", F.lit(run_id)), f"{out}/long", ["run_id"])
         rows = stored.where(F.col("run_id") == run_id).drop("run_id")
+    else:
+        rows = cut_lineage(rows)
     kept = quality.reject_vitals_outliers(rows.where(F.col("family") == "vital")).unionByName(
         quality.reject_labs_outliers(rows.where(F.col("family") == "lab"))
     )

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from anchorline.sources.schemas import fields
+
 # fixed values: concept id, name, family
 CONCEPTS = [
     (1, "click", "vital"),
@@ -21,12 +23,26 @@ LAB_IDS = [3, 4]
 NAMES = {"vital": ["click", "view"], "lab": ["purchase", "error"]}
 
 
+# known schemas spare the job that would read them from a file footer
+SCHEMAS = {
+    "events": fields(
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ),
+    "customer": fields(
+        "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def concept(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONCEPTS, "concept_id int, concept_name string, family string")
+    """The dictionary as a local relation, whose known size lets the planner choose the join."""
+    rows = ", ".join(f"({number}, '{name}', '{family}')" for number, name, family in CONCEPTS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(concept_id, concept_name, family)")
 
 
 def _visit_id() -> F.Column:
