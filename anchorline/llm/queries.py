@@ -7,13 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import shards, token_files
+from anchorline.llm import rlz_dedup, shards, suffix_dedup, token_files
 from anchorline.llm.frames import table, text_bytes
 from anchorline.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = rlz_dedup.remove_repeated_words(table(spark, sf_dir, "documents"), with_kept=False)
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_kept=False)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -35,6 +45,8 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_rlz_dedup": op1_rlz_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op10_histogram_shards": op10_histogram_shards,
 }
