@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import rlz_dedup, shards, suffix_dedup, token_files
-from anchorline.llm.frames import table, text_bytes
+from anchorline.llm import language, rlz_dedup, shards, suffix_dedup, token_files, toxicity
+from anchorline.llm.frames import crc_held_out, table, text_bytes
 from anchorline.session import cut_lineage
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,20 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
 
 
+def op2_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_language(docs.where(~crc_held_out()))
+    found = language.predict_language(docs, model)
+    return found.select("doc_id", crc_held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit_toxicity(docs.where(~crc_held_out()), labels.where(~crc_held_out()))
+    found = toxicity.tag_documents(docs, field)
+    return found.select("doc_id", crc_held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_kept=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -46,6 +60,8 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
+    "op2_byte_network": op2_byte_network,
+    "op5_toxic_spans": op5_toxic_spans,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op10_histogram_shards": op10_histogram_shards,
