@@ -14,10 +14,12 @@ A reader fetches the two tables at the end, then only the frames it was asked fo
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from anchorline.llm.frames import parts, total_bytes
+from anchorline.llm.kernels import joined_bytes, ranges, slices_of
 from anchorline.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,72 +39,78 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Fixed values of the public format.
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FRAME_BYTES = 1 << 28
-SLICE_BYTES = 8 << 20
-CACHED_UNITS = 300_000
+SLICE_BYTES = 4 << 20
+CACHED_UNITS = 250_000
 FILE_SCHEMA = "part int, path string, documents long, tokens long"
 TOKEN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, place long"
 
 
-def unit_starts(data: np.ndarray) -> np.ndarray:
-    """Where a text may be cut without changing its ids: at a blank between two bytes that are no white space.
+def unit_marks(data: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """Where a text may be cut without changing its ids: before a blank and around a line end that stand between two
+    bytes that are no white space, and between an ASCII letter and a byte of ``close``.
 
-    Pre-tokens hold a blank only in front, so no merge reaches over such a cut. Bytes from 0xC2 on may belong to
-    wide white space, so a blank beside one is not cut.
+    Pre-tokens hold a blank only in front and end where letters end or begin, but for those that begin with an
+    apostrophe; so no merge reaches over such a cut. Bytes from 0x7F on may belong to wide white space, so blanks
+    beside one are not cut.
     """
     solid = (data > 0x20) & (data < 0x7F)
-    inner = (data[1:-1] == 0x20) & solid[:-2] & solid[2:]
-    return np.flatnonzero(inner) + 1
+    letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
+    marks = np.zeros(len(data) + 1, bool)
+    marks[1:-2] = (data[1:-1] == 0x20) & solid[:-2] & solid[2:]
+    sign = close[data]
+    marks[1:-1] |= letter[:-1] & sign[1:] | sign[:-1] & letter[1:] & (data[:-1] != 0x27)
+    line = 1 + np.flatnonzero((data[1:-1] == 0x0A) & solid[:-2] & solid[2:])
+    marks[line] = marks[line + 1] = True
+    return marks
 
 
 class Encoder:
     """Ids of many texts; each distinct unit between cuts is encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def units(self, values: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHED_UNITS:
-            self.cache.clear()
-        fresh = [v for v in values if v not in self.cache]
-        for v, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.cache[v] = np.array(e.ids, np.uint32)
-        return [self.cache[v] for v in values]
+        self.close = np.zeros(256, bool)
+        self.close[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+        for added in self.tokenizer.get_added_tokens_decoder().values():
+            self.close[list(added.content.encode())] = False  # such a token must not be cut
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = [np.zeros(0, np.uint32)]
+        self.sizes = [np.zeros(0, np.int64)]
+
+    def units(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all known units, where each of ``values`` begins in them, and how many ids it has."""
+        if len(self.known) > CACHED_UNITS:
+            self.forget()
+        fresh = [v for v in values if v not in self.known]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))
+        self.flat, self.sizes = [np.concatenate([*self.flat, ids])], [np.concatenate([*self.sizes, count])]
+        number = np.fromiter(map(self.known.__getitem__, values), np.int64, len(values))
+        ends = np.cumsum(self.sizes[0])
+        return self.flat[0], (ends - self.sizes[0])[number], self.sizes[0][number]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array (no nulls) one after another, and the bounds of each text's ids."""
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        cuts = unit_starts(data) if len(data) > 2 else np.zeros(0, np.int64)
-        bounds = np.unique(np.concatenate([offsets, cuts]))
-        if len(bounds) < 2:
+        data, offsets = joined_bytes(texts)
+        if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        marks = unit_marks(data, self.close)
+        marks[offsets] = True
+        bounds = np.flatnonzero(marks)
         cells = pa.Array.from_buffers(
             pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]
         ).dictionary_encode()
-        encoded = self.units(cells.dictionary.to_pylist())
-        lengths = np.array([len(e) for e in encoded], np.int64)
-        flat = np.concatenate(encoded)
-        begins = np.cumsum(lengths) - lengths
+        flat, begins, lengths = self.units(cells.dictionary.to_pylist())
         codes = cells.indices.to_numpy()
         each = lengths[codes]
-        ends = np.cumsum(each)
-        # position of every id inside ``flat``: start of its unit plus its place in the unit
-        place = np.arange(ends[-1]) + np.repeat(begins[codes] - (ends - each), each)
-        upto = np.concatenate([[0], ends])
-        return flat[place], upto[np.searchsorted(bounds, offsets)]
-
-
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES each."""
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64))
-    group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(sizes)]])
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            yield int(a), int(b)
+        upto = np.concatenate([[0], np.cumsum(each)])
+        return flat[ranges(begins[codes], each)], upto[np.searchsorted(bounds, offsets)]
 
 
 def skippable(magic: int, body: bytes) -> bytes:
@@ -204,9 +213,9 @@ def write_token_files(
         encoder, out = Encoder(tokenizer), None
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         for batch in batches:
-            texts = batch.column(1).cast(pa.string())
+            texts = batch.column(1)
             ids = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices_of(joined_bytes(texts)[1], SLICE_BYTES):
                 if out is None:
                     fs.create_dir(at)
                     out = TokenFileWriter(fs.open_output_stream(own), width)
