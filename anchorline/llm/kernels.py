@@ -113,8 +113,10 @@ SPACES = (9, 10, 11, 12, 13, 32)
 class WordTokens:
     """Words are runs of bytes other than ASCII white space; ``data`` holds them, each followed by one blank."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         raw, bounds = joined_bytes(texts, "\n")
+        if lower:  # A-Z only
+            raw = raw + (((raw >= 65) & (raw <= 90)) * np.uint8(32))
         solid = np.ones(256, bool)
         solid[list(SPACES)] = False
         word = solid[raw]

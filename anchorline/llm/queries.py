@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import language, rlz_dedup, shards, suffix_dedup, token_files, toxicity
+from anchorline.llm import language, minhash, rlz_dedup, shards, suffix_dedup, token_files, toxicity
 from anchorline.llm.frames import crc_held_out, table, text_bytes
 from anchorline.session import cut_lineage
 
@@ -43,6 +43,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     narrow = docs.select(
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxic_spans": op5_toxic_spans,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_token_files": op7_token_files,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_histogram_shards": op10_histogram_shards,
 }
 SQL: dict[str, str] = {}
