@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 19  # tokens handled at a time
+CHUNK = 1 << 18  # tokens handled at a time
 PLACE_BITS = 20  # enough for the places inside a chunk and its margin
 
 
@@ -93,6 +93,36 @@ def slices_of(bounds: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the two-byte capitals À to Þ."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    out = table[data]
+    after = np.zeros(len(data), bool)
+    after[1:] = data[:-1] == 0xC3
+    capital = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
+    out[capital] += 32
+    return out
+
+
+def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ASCII letters, digits and bytes from 0x80 on that do not cross ``bounds``: starts, ends, and the number
+    of words before each bound."""
+    part = np.zeros(256, bool)
+    part[48:58] = part[65:91] = part[97:123] = True
+    part[128:] = True
+    inside = part[data]
+    begin, end = inside.copy(), inside.copy()
+    begin[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    cuts = bounds[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(data))]
+    begin[cuts] = inside[cuts]
+    end[cuts - 1] = inside[cuts - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, bounds)
+
+
 class ByteTokens:
     """Each byte is a token."""
 
@@ -107,6 +137,15 @@ class ByteTokens:
         return lo, hi
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    table, scale, out = byte_codes(), powers(CHUNK + 1), np.empty(len(starts), np.uint64)
+    for a, b in slices_of(np.append(starts, len(data)), CHUNK) if len(starts) else ():
+        lo = starts[a]
+        found = RangeHash(table[data[lo : ends[b - 1]]], scale)
+        out[a:b] = found.of(starts[a:b] - lo, ends[a:b] - lo)
+    return out
+
+
 SPACES = (9, 10, 11, 12, 13, 32)
 
 
@@ -129,15 +168,8 @@ class WordTokens:
         first = word.copy()
         first[1:] &= ~word[:-1]
         self.offsets = np.searchsorted(np.flatnonzero(first), bounds)
-        self.hashes = self._hashes()
-
-    def _hashes(self) -> np.ndarray:
-        table, scale, out = byte_codes(), powers(CHUNK + 1), np.empty(len(self.starts), np.uint64)
-        for a, b in slices_of(np.append(self.starts, len(self.data)), CHUNK):
-            lo = self.starts[a]
-            found = RangeHash(table[self.data[lo : self.ends[b - 1]]], scale)
-            out[a:b] = found.of(self.starts[a:b] - lo, self.ends[a:b] - lo)
-        return out
+        self.hashes = word_hashes(self.data, self.starts, self.ends)
+
 
     def codes(self, lo: int, hi: int) -> np.ndarray:
         return self.hashes[lo:hi]

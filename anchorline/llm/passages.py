@@ -36,10 +36,9 @@ from anchorline.llm.kernels import RangeHash, anchored_runs, ranges, slices_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES = 4 << 20, 32 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES, SHARD_BYTES = 2 << 20, 32 << 20, 8 << 20
 BLOCK_BYTES = 2 << 20  # pieces that a shard solves together
 HOT_BATCHES = 64
-GRAM_SHARE = 6  # a gram is a sixth of a window
 
 ANSWER = np.dtype([("piece", "<u4"), ("start", "<u4"), ("count", "<u4"), ("ref_doc", "<i8"), ("ref_place", "<i8")])
 
@@ -63,7 +62,7 @@ first window in these arrays."""
 class Batch:
     """The rows of one batch in a fixed order, with their runs of windows."""
 
-    def __init__(self, rows: pa.Table, tokenize, span: int, buckets: int):
+    def __init__(self, rows: pa.Table, tokenize, span: int, gram: int, buckets: int):
         ids = pc.fill_null(rows.column("doc_id").cast(pa.int64()), NULL_ID).to_numpy()
         texts = rows.column("text").combine_chunks()
         order = np.argsort(ids, kind="stable")
@@ -72,7 +71,7 @@ class Batch:
             order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], plain[i] or "")))
         self.order, self.ids, self.span = order, ids[order], span
         self.tokens = tokenize(texts.take(pa.array(order)))
-        self.first, self.last, self.key = anchored_runs(self.tokens, span, max(1, span // GRAM_SHARE))
+        self.first, self.last, self.key = anchored_runs(self.tokens, span, gram)
         self.row = np.searchsorted(self.tokens.offsets, self.first, "right") - 1
         bucket, sign = self.key % np.uint64(buckets), (self.key >> np.uint64(32)).astype(np.uint32)
         self.anchors, self.of = np.unique((bucket << np.uint64(32)) | sign, return_inverse=True)
@@ -251,11 +250,12 @@ def solve_shard(rows: pa.Table, span: int, solver: Solver) -> pa.Table:
 
 
 def repeated_passages(
-    docs: DataFrame, tokenize, solver: Solver, finish, schema: str, span: int, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, tokenize, solver: Solver, finish, schema: str, span: int, gram: int, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Run the steps above and call ``finish(batch, shards, answers)`` for the rows of each batch.
 
-    An empty table gives no rows; a null text has no tokens.
+    ``gram`` is the length of an anchor: short ones are fewer, long ones are seldom shared by chance. An empty table
+    gives no rows; a null text has no tokens.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = total_bytes(rows)
@@ -263,7 +263,7 @@ def repeated_passages(
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
 
     def send_keys(key: tuple, rows: pa.Table) -> pa.Table:
-        batch = Batch(rows, tokenize, span, buckets)
+        batch = Batch(rows, tokenize, span, gram, buckets)
         sent = list(batch.keys_by_bucket())
         return pa.table(
             {"bucket": pa.array([b for b, _ in sent], pa.int32()), "batch": pa.array([key[0].as_py()] * len(sent), pa.int32()),
@@ -271,7 +271,7 @@ def repeated_passages(
         )
 
     def opened(rows: pa.Table, flags: pa.Table) -> Batch:
-        batch = Batch(rows, tokenize, span, buckets)
+        batch = Batch(rows, tokenize, span, gram, buckets)
         batch.set_flags(flags.column("bucket").to_numpy(), flags.column("shared").to_pylist(), flags.column("hot").to_pylist())
         return batch
 

@@ -132,10 +132,11 @@ def remove_repeated_words(
     words; texts of fewer than ``span`` words stay whole; for null and repeated ids see ``passages``.
     """
     return repeated_passages(
-        docs, WordTokens, parse_block, lambda b, s, a: cut_documents(b, s, a, with_kept), CUT_SCHEMA, span, doc_id, text
-    )
+        docs, WordTokens, parse_block, lambda b, s, a: cut_documents(b, s, a, with_kept), CUT_SCHEMA, span,
+        max(1, span // 6), doc_id, text,
+    )
 
 
 def repeated_factors(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The factors themselves: where each begins, how many words it copies, and from where."""
-    return repeated_passages(docs, WordTokens, parse_block, list_factors, FACTOR_SCHEMA, span, doc_id, text)
+    return repeated_passages(docs, WordTokens, parse_block, list_factors, FACTOR_SCHEMA, span, max(1, span // 6), doc_id, text)

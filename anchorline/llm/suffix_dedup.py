@@ -82,5 +82,6 @@ def remove_repeated_bytes(
     see ``passages``.
     """
     return repeated_passages(
-        docs, ByteTokens, smallest_holders, lambda b, s, a: cut_documents(b, s, a, with_kept), SCHEMA, span, doc_id, text
-    )
+        docs, ByteTokens, smallest_holders, lambda b, s, a: cut_documents(b, s, a, with_kept), SCHEMA, span,
+        max(1, span // 2), doc_id, text,
+    )
