@@ -19,7 +19,9 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from anchorline.llm.kernels import CHUNK, RangeHash, byte_codes, joined_bytes, powers, ranges, slices_of
+from anchorline.llm.kernels import (
+    CHUNK, RangeHash, byte_codes, joined_bytes, lower_bytes, powers, ranges, slices_of, word_bounds,
+)
 from anchorline.llm.samples import bounded_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,36 +34,6 @@ ODDS, HOLDERS, HOLDER_SHARE = 20.0, 3, 0.01  # a token counts as toxic from thes
 SLICE_BYTES = 2 << 20
 
 
-def lower_bytes(data: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z and of the two-byte capitals À to Þ."""
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    out = table[data]
-    after = np.zeros(len(data), bool)
-    after[1:] = data[:-1] == 0xC3
-    capital = after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)
-    out[capital] += 32
-    return out
-
-
-def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ASCII letters, digits and bytes from 0x80 on that do not cross ``bounds``: starts, ends, and the number
-    of words before each bound."""
-    part = np.zeros(256, bool)
-    part[48:58] = part[65:91] = part[97:123] = True
-    part[128:] = True
-    inside = part[data]
-    begin, end = inside.copy(), inside.copy()
-    begin[1:] &= ~inside[:-1]
-    end[:-1] &= ~inside[1:]
-    cuts = bounds[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(data))]
-    begin[cuts] = inside[cuts]
-    end[cuts - 1] = inside[cuts - 1]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, bounds)
-
-
 def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Slots of the word and of its prefixes; SLOTS stands for a prefix that the word is too short for."""
     table, scale = byte_codes(), powers(CHUNK + 1)
