@@ -91,7 +91,7 @@ def _dot(x: Column, w) -> Column:
     return reduce(lambda a, b: a + b, [F.get(x, i) * float(v) for i, v in enumerate(w)])
 
 
-def fit_curves(rows: DataFrame, domains: list[str], rounds: int = 12, ridge: float = 1.0) -> np.ndarray:
+def fit_curves(rows: DataFrame, domains: list[str], rounds: int = 12, ridge: float = 0.1) -> np.ndarray:
     """Weights of one logistic curve per domain, by Newton steps; all sums of a round come from one aggregate."""
     width = 3 + len(domains)
     curves = np.zeros((len(domains), width))
@@ -128,26 +128,39 @@ def _moved(rate: Column, p: Column, step) -> Column:
     return F.greatest(F.lit(0.0), rate - _dot(p, step))
 
 
-def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int = 40, tolerance: float = 1e-6) -> list[np.ndarray]:
-    """Steps of the projected gradient for rows with ``n`` and ``p``; see ``_moved`` for how a step moves a rate."""
+def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int = 25, tolerance: float = 1e-6) -> list[np.ndarray]:
+    """Steps of the projected gradient for rows with ``n`` and ``p``; see ``_moved`` for how a step moves a rate.
+
+    The gradient is scaled by the inverse of sum n p p' over the documents whose rate is not 0; a step that does not
+    bring the totals nearer is halved. One aggregate a round gives the totals and these sums.
+    """
     p, n = F.col("p"), F.col("n").cast("double")
-    grams = [F.sum(n * F.get(p, i) * F.get(p, j)) for i in range(domains) for j in range(i, domains)]
-    got = [v or 0.0 for v in rows.agg(*[g.alias(f"g{i}") for i, g in enumerate(grams)]).first()]
-    gram = np.zeros((domains, domains))
-    gram[np.triu_indices(domains)] = got
-    gram = gram + np.triu(gram, 1).T
-    inverse = np.linalg.pinv(gram, rcond=1e-10)
     wanted = np.array(targets, float)
     steps: list[np.ndarray] = []
+    best, whole = np.inf, max(wanted.sum(), 1.0)
+    upper = np.triu_indices(domains)
     for _ in range(rounds):
         rate = reduce(lambda r, s: _moved(r, p, s), steps, F.lit(1.0))
-        sums = rows.withColumn("__rate", rate).agg(
-            *[F.sum(n * F.get(p, k) * F.col("__rate")).alias(f"t{k}") for k in range(domains)]
+        own = F.when(F.col("__rate") > 0, n).otherwise(0.0)
+        got = rows.withColumn("__rate", rate).agg(
+            *[F.sum(n * F.get(p, k) * F.col("__rate")).alias(f"t{k}") for k in range(domains)],
+            *[F.sum(own * F.get(p, int(i)) * F.get(p, int(j))).alias(f"g{i}_{j}") for i, j in zip(*upper, strict=True)],
         ).first()
-        miss = np.array([v or 0.0 for v in sums]) - wanted
-        if np.abs(miss).max() <= tolerance * max(wanted.sum(), 1.0):
+        got = np.array([v or 0.0 for v in got])
+        miss = got[:domains] - wanted
+        gap = np.abs(miss).max() / whole
+        if gap <= tolerance:
             break
-        steps.append(inverse @ miss)
+        if gap < best:
+            gram = np.zeros((domains, domains))
+            gram[upper] = got[domains:]
+            gram = gram + np.triu(gram, 1).T
+            steps.append(np.linalg.pinv(gram, rcond=1e-10) @ miss)
+            settled, best = abs(best - gap) <= 1e-3 * tolerance, gap
+            if settled:
+                break
+        else:
+            steps[-1] = steps[-1] / 2
     return steps
 
 

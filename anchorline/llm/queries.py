@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from anchorline.llm import language, minhash, rlz_dedup, shards, suffix_dedup, token_files, toxicity
+from anchorline.llm import (
+    decontaminate, language, minhash, mixing, neighbours, rlz_dedup, shards, suffix_dedup, token_files, toxicity,
+)
 from anchorline.llm.frames import crc_held_out, table, text_bytes
 from anchorline.session import cut_lineage
 
@@ -33,6 +35,25 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", crc_held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Share of its expected tokens that each domain keeps in the mixture.
+KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.1}
+
+
+def op6_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").withColumn("domain", mixing.quality_domain())
+    mixed = mixing.soft_mixture(table(spark, sf_dir, "documents"), labels, KEEP)
+    shares = [F.get("posteriors", k).alias(f"p_{d}") for k, d in enumerate(KEEP)]
+    return mixed.select("doc_id", "n_tokens", "domain", *shares, "rate")
+
+
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), with_kept=False)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -66,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_rlz_dedup": op1_rlz_dedup,
     "op2_byte_network": op2_byte_network,
     "op5_toxic_spans": op5_toxic_spans,
+    "op3_string_tiling": op3_string_tiling,
+    "op6_soft_mixture": op6_soft_mixture,
+    "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op7_token_files": op7_token_files,
     "op9_near_duplicates": op9_near_duplicates,
