@@ -102,9 +102,9 @@ def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], match
     return out
 
 
-def leaks_in(batch: pa.RecordBatch, seeds: Seeds, match: int, coverage: float) -> Iterator[tuple]:
-    """(row, item number, covered words, words of the item, tiles) of a batch with the texts in column 1."""
-    words, upto = words_of(batch.column(1))
+def leaks_in(texts: pa.Array, seeds: Seeds, match: int, coverage: float) -> Iterator[tuple]:
+    """(text number, item number, covered words, words of the item, tiles)."""
+    words, upto = words_of(texts)
     hashes, first = grams_inside(words, upto, match)
     at, place = seeds.join(hashes)
     if not len(at):
@@ -129,6 +129,17 @@ def leaks_in(batch: pa.RecordBatch, seeds: Seeds, match: int, coverage: float) -
             yield r, i, total, int(size[i]), len(marked)
 
 
+def seed_blocks(benchmark: DataFrame, match: int, item_id: str, item_text: str) -> Iterator[Seeds]:
+    """The items, in blocks of about BLOCK_BYTES, one after another. They are a stated query set."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    blocks = parts(total_bytes(items), BLOCK_BYTES)
+    for number in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
+        seeds = Seeds.of([r[0] for r in block], pa.array([r[1] for r in block], pa.string()), match)
+        if len(seeds.hashes):
+            yield seeds
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", match: int = MATCH, coverage: float = COVERAGE,
@@ -136,32 +147,46 @@ def find_leaks(
     """One row per row of ``docs`` and item whose words it covers by at least ``coverage``.
 
     Items of fewer than ``match`` words, null texts and texts without words take no part; null ids are carried along;
-    repeated rows and items each count. The items are a stated query set: they are read in blocks of bounded size, and
-    each block meets all documents in one narrow pass, so neither documents nor pairs are shuffled.
+    repeated rows and items each count. The items are read in blocks of bounded size, and each block meets all
+    documents in one narrow pass, so neither documents nor pairs are shuffled.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
-    blocks = parts(total_bytes(items), BLOCK_BYTES)
-    schema = "doc_id long, item_id long, covered long, item_words long, tiles long"
-
-    def block_pass(number: int) -> DataFrame:
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
-        seeds = Seeds.of([r[0] for r in block], pa.array([r[1] for r in block], pa.string()), match)
+    names = ["doc_id", "item_id", "covered", "item_words", "tiles"]
 
+    def block_pass(seeds: Seeds) -> DataFrame:
         def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bounds = joined_bytes(batch.column(1))[1]
-                for a, b in slices_of(bounds, SLICE_BYTES) if len(seeds.hashes) else ():
-                    part = batch.slice(a, b - a)
-                    found = list(leaks_in(part, seeds, match, coverage))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array([f[0] for f in found], pa.int64())),
-                         pa.array([seeds.ids[f[1]] for f in found], pa.int64()),
-                         *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)]],
-                        names=["doc_id", "item_id", "covered", "item_words", "tiles"],
-                    )
-
-        return rows.mapInArrow(search, schema)
-
-    found = reduce(DataFrame.unionAll, [block_pass(i) for i in range(blocks)])
+                for a, b in slices_of(joined_bytes(batch.column(1))[1], SLICE_BYTES):
+                    found = list(leaks_in(batch.column(1).slice(a, b - a), seeds, match, coverage))
+                    columns = [batch.column(0).take(pa.array([a + f[0] for f in found], pa.int64()))]
+                    columns.append(pa.array([seeds.ids[f[1]] for f in found], pa.int64()))
+                    columns += [pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return rows.mapInArrow(search, ", ".join(f"{n} long" for n in names))
+
+    passes = [block_pass(s) for s in seed_blocks(benchmark, match, item_id, item_text)]
+    found = reduce(DataFrame.unionAll, passes) if passes else rows.sparkSession.createDataFrame([], ", ".join(f"{n} long" for n in names))
     return found.withColumn("coverage", F.col("covered") / F.col("item_words"))
+
+
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    match: int = MATCH, coverage: float = COVERAGE,
+) -> DataFrame:
+    """The rows of ``docs`` that cover no item by ``coverage``; all columns stay. Narrow, one pass per block of items."""
+    at = docs.columns.index(text)
+
+    def without(seeds: Seeds):
+        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for a, b in slices_of(joined_bytes(batch.column(at))[1], SLICE_BYTES):
+                    clean[[a + f[0] for f in leaks_in(batch.column(at).slice(a, b - a), seeds, match, coverage)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return keep
+
+    for seeds in seed_blocks(benchmark, match, item_id, item_text):
+        docs = docs.mapInArrow(without(seeds), docs.schema)
+    return docs

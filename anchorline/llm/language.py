@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.llm.kernels import joined_bytes, ranges, slices_of
 from anchorline.llm.samples import bounded_sample
@@ -167,37 +167,58 @@ def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", te
     return train(windows, np.array([languages.index(r[0]) for r in found]), languages)
 
 
+def classify(texts: pa.Array, letters: np.ndarray, model: ByteNetwork | None, tables) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the likeliest language of each text, -1 if there is none, and its mean probability."""
+    data, bounds = joined_bytes(texts)
+    best, score = np.zeros(len(letters), np.int64), np.zeros(len(letters))
+    for a, b in slices_of(bounds, SLICE_BYTES) if model else ():
+        sizes = np.diff(bounds[a : b + 1])
+        number, first = window_starts(sizes)
+        if not len(number):
+            continue
+        own = data[bounds[a] : bounds[b]]
+        begin = (bounds[a:b] - bounds[a])[number] + first
+        sums = np.zeros((b - a, len(model.languages)))
+        for c in range(0, len(number), 4096):
+            part = slice(c, c + 4096)
+            windows = cut_windows(own, begin[part], sizes[number[part]])
+            np.add.at(sums, number[part], model.probabilities(windows, tables))
+        mean = sums / np.maximum(np.bincount(number, minlength=b - a), 1)[:, None]
+        best[a:b], score[a:b] = mean.argmax(axis=1), mean.max(axis=1)
+    known = letters & (model is not None)
+    return np.where(known, best, -1), np.where(known, np.clip(score, 0, 1), 0.0)
+
+
+def has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict_language(docs: DataFrame, model: ByteNetwork | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: id, predicted language, its probability. A text that is null or has no letter is ``und`` with score 0,
     as is every text without a model. Narrow: one pass, no shuffle."""
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"),
-        F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), has_letter(text).alias("letters"))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pair_tables() if model else None
         for batch in batches:
-            data, bounds = joined_bytes(batch.column(1))
-            letters = batch.column(2).to_numpy(zero_copy_only=False)
-            best, score = np.zeros(len(letters), np.int64), np.zeros(len(letters))
-            for a, b in slices_of(bounds, SLICE_BYTES) if model else ():
-                sizes = np.diff(bounds[a : b + 1])
-                number, first = window_starts(sizes)
-                if not len(number):
-                    continue
-                sums = np.zeros((b - a, len(model.languages)))
-                for c in range(0, len(number), 4096):
-                    part = slice(c, c + 4096)
-                    own = cut_windows(data[bounds[a] : bounds[b]], (bounds[a:b] - bounds[a])[number[part]] + first[part], sizes[number[part]])
-                    np.add.at(sums, number[part], model.probabilities(own, tables))
-                mean = sums / np.maximum(np.bincount(number, minlength=b - a), 1)[:, None]
-                best[a:b], score[a:b] = mean.argmax(axis=1), mean.max(axis=1)
-            known = letters & (model is not None)
-            names = [model.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column(0), "lang_pred": names, "score": np.where(known, np.clip(score, 0, 1), 0.0)}
-            )
+            best, score = classify(batch.column(1), batch.column(2).to_numpy(zero_copy_only=False), model, tables)
+            names = [model.languages[i] if i >= 0 else UNKNOWN for i in best]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": score})
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of at least ``least``; all columns stay."""
+    flagged = docs.select("*", has_letter(text).alias("__letters"))
+    at = docs.columns.index(text)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = model.pair_tables() if model else None
+        for batch in batches:
+            flags = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            best, score = classify(batch.column(at), flags, model, tables)
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array((best >= 0) & (score >= least)))
+
+    return flagged.mapInArrow(keep, docs.schema)

@@ -189,3 +189,12 @@ def near_duplicates(
         "doc_id", "n_shingles", component.alias("component_id"),
         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one document of each group; all columns stay. The ids to drop are stored first."""
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "near-copies")
+    near_duplicates(docs, doc_id, text, words, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct().write.parquet(path)
+    dropped = spark.read.parquet(path)
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    return docs.join(dropped, F.col(doc_id) == F.col("__id"), "left_anti")

@@ -14,10 +14,11 @@ Everything runs as DataFrame expressions. What reaches the driver has a size set
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from anchorline.session import cut_lineage
 
@@ -73,13 +74,13 @@ def _summed(weights: list[float]) -> Column:
     return F.aggregate("__slots", F.lit(0.0), lambda total, slot: total + F.get(table, slot))
 
 
-def with_inputs(docs: DataFrame, odds: DataFrame) -> DataFrame:
+def with_inputs(docs: DataFrame, odds: Row) -> DataFrame:
     """Add ``x``, the inputs of the classifier, and ``n``, the number of words, to rows with ``text``. Narrow.
 
     The odds are SLOTS numbers per domain, whatever the size of the corpus; they pass through the driver.
     """
     text = F.coalesce("text", F.lit(""))
-    evidence = [F.log1p(_summed(w)) for w in odds.first()]
+    evidence = [F.log1p(_summed(w)) for w in odds]
     symbols, capitals = _share(text, "$%&*#|@^~_=+<>\\"), _share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     words = F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
     return docs.withColumn("__slots", _slots(text)).select(
@@ -164,6 +165,55 @@ def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int =
     return steps
 
 
+@dataclass
+class Mixture:
+    """What a fitted mixture needs to rate further rows."""
+
+    domains: list[str]
+    odds: Row
+    curves: np.ndarray
+    steps: list[np.ndarray]
+
+    def rated(self, rows: DataFrame) -> DataFrame:
+        """Add ``domain`` and ``rate`` to rows with ``n`` and ``p``."""
+        rate = reduce(lambda r, s: _moved(r, F.col("p"), s), self.steps, F.lit(1.0))
+        best = F.array_position("p", F.array_max("p")).cast("int")
+        return rows.select("*", F.element_at(F.array(*map(F.lit, self.domains)), best).alias("domain"), rate.alias("rate"))
+
+    def drawn(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The rows of ``docs``, each as often as its rate says: its whole part, and once more with the odds of the
+        rest, drawn by a hash of the text. All columns stay. Narrow: nothing is joined or shuffled."""
+        inputs = with_inputs(docs.select(F.struct("*").alias("__row"), F.col(text).alias("text")), self.odds)
+        rated = self.rated(inputs.select("__row", "text", "n", posteriors(inputs, self.curves).alias("p")))
+        draw = F.pmod(F.xxhash64("text", F.lit("mixture")), F.lit(1 << 30)) / float(1 << 30)
+        copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
+        often = rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+        return often.select([F.col("__row")[c].alias(c) for c in docs.columns])
+
+
+def fit_mixture(
+    docs: DataFrame, labels: DataFrame, keep: dict[str, float], doc_id: str = "doc_id", text: str = "text",
+    as_kept: bool = False,
+) -> tuple[Mixture, DataFrame]:
+    """Fit classifier and rates; returns them and the rows (doc_id, n, p) they were fitted on.
+
+    ``keep`` names the domains and the share of its expected tokens that each shall hold. With ``as_kept`` the targets
+    are instead the totals that come out if every document is kept at the mean share of its domains, which no rate
+    above 1 is needed for.
+    """
+    domains, shares = list(keep), list(keep.values())
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = labels.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("doc_id"), "domain")
+    odds = word_odds(rows.join(known, "doc_id").select("text", "domain"), domains).first()
+    seen = cut_lineage(with_inputs(rows, odds).drop("text"))
+    curves = fit_curves(seen.join(known, "doc_id"), domains)
+    held = cut_lineage(seen.select("doc_id", "n", posteriors(seen, curves).alias("p")))
+    weight = _dot(F.col("p"), shares) if as_kept else F.lit(1.0)
+    totals = held.agg(*[F.sum(F.col("n") * F.get("p", k) * weight).alias(f"t{k}") for k in range(len(domains))]).first()
+    targets = [(t or 0.0) * (1.0 if as_kept else s) for t, s in zip(totals, shares, strict=True)]
+    return Mixture(domains, odds, curves, fit_rates(held, len(domains), targets)), held
+
+
 def soft_mixture(
     docs: DataFrame, labels: DataFrame, keep: dict[str, float], doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -174,18 +224,5 @@ def soft_mixture(
     share above 1 asks for more. Null texts have no words, and a document without words has no part in the totals but
     gets a rate; repeated rows count as often as they stand. Without labelled rows all domains are equally likely.
     """
-    domains = list(keep)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = labels.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("doc_id"), "domain")
-    odds = word_odds(rows.join(known, "doc_id").select("text", "domain"), domains)
-    seen = cut_lineage(with_inputs(rows, odds).drop("text"))
-    curves = fit_curves(seen.join(known, "doc_id"), domains)
-    held = cut_lineage(seen.select("doc_id", "n", posteriors(seen, curves).alias("p")))
-    totals = held.agg(*[F.sum(F.col("n") * F.get("p", k)).alias(f"t{k}") for k in range(len(domains))]).first()
-    steps = fit_rates(held, len(domains), [(t or 0.0) * keep[d] for t, d in zip(totals, domains, strict=True)])
-    rate = reduce(lambda r, s: _moved(r, F.col("p"), s), steps, F.lit(1.0))
-    best = F.array_position("p", F.array_max("p"))
-    return held.select(
-        "doc_id", F.col("n").alias("n_tokens"), F.col("p").alias("posteriors"),
-        F.element_at(F.array(*map(F.lit, domains)), best.cast("int")).alias("domain"), rate.alias("rate"),
-    )
+    mixture, held = fit_mixture(docs, labels, keep, doc_id, text)
+    return mixture.rated(held).select("doc_id", F.col("n").alias("n_tokens"), F.col("p").alias("posteriors"), "domain", "rate")

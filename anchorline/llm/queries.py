@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anchorline.llm import (
     decontaminate, language, minhash, mixing, neighbours, rlz_dedup, shards, suffix_dedup, token_files, toxicity,
 )
+from anchorline.llm.stages import KEEP, TOKENIZER
 from anchorline.llm.frames import crc_held_out, table, text_bytes
 from anchorline.session import cut_lineage
 
-TOKENIZER = "byte_bpe_50k.json"
-
 
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = rlz_dedup.remove_repeated_words(table(spark, sf_dir, "documents"), with_kept=False)
@@ -39,10 +38,6 @@ def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Share of its expected tokens that each domain keeps in the mixture.
-KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.1}
-
-
 def op6_soft_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumn("domain", mixing.quality_domain())
     mixed = mixing.soft_mixture(table(spark, sf_dir, "documents"), labels, KEEP)

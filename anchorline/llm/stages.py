@@ -5,10 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from anchorline.llm import token_files
+from anchorline.llm import decontaminate, language, minhash, mixing, token_files
+from anchorline.llm.frames import crc_held_out, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
+#: Share of its tokens that each domain keeps in the mixture.
+KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.1}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is recognised."""
+    return language.keep_known(docs, language.fit_language(docs.where(~crc_held_out())))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by their rates, so that poor and toxic ones get rarer and the rest stays."""
+    labels = table(spark, sf_dir, "labels").withColumn("domain", mixing.quality_domain())
+    fitted, _ = mixing.fit_mixture(docs, labels, KEEP, as_kept=True)
+    return fitted.drawn(docs)
+
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of what is left, described per document."""
