@@ -15,6 +15,7 @@ A reader fetches the two tables at the end, then only the frames it was asked fo
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import zlib
@@ -40,32 +41,52 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FRAME_BYTES = 1 << 28
 SLICE_BYTES = 4 << 20
-CACHED_UNITS = 250_000
+CACHED_UNITS = 600_000
 FILE_SCHEMA = "part int, path string, documents long, tokens long"
 TOKEN_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, part int, place long"
 
 
 def unit_marks(data: np.ndarray, close: np.ndarray) -> np.ndarray:
-    """Where a text may be cut without changing its ids: before a blank and around a line end that stand between two
-    bytes that are no white space, and between an ASCII letter and a byte of ``close``.
+    """Where a text may be cut without changing its ids: before a blank and around a line end that stand between
+    letters or signs, and between a letter and a byte of ``close``.
 
     Pre-tokens hold a blank only in front and end where letters end or begin, but for those that begin with an
-    apostrophe; so no merge reaches over such a cut. Bytes from 0x7F on may belong to wide white space, so blanks
-    beside one are not cut.
+    apostrophe; so no merge reaches over such a cut. Of the letters beyond ASCII those with two bytes from U+00C0 to
+    U+023F count; other bytes from 0x7F on may belong to wide white space, so nothing is cut beside them.
     """
-    solid = (data > 0x20) & (data < 0x7F)
-    letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
+    ascii_letter = ((data | 0x20) >= 97) & ((data | 0x20) <= 122)
+    lead = (data >= 0xC3) & (data <= 0xC8)
+    latin = np.zeros(len(data), bool)  # leading bytes of such letters
+    latin[:-1] = lead[:-1] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    begins, ends = ascii_letter | latin, ascii_letter.copy()
+    ends[1:] |= latin[:-1]
+    plain = (data > 0x20) & (data < 0x7F)
+    before, after = plain | ends, plain | begins
     marks = np.zeros(len(data) + 1, bool)
-    marks[1:-2] = (data[1:-1] == 0x20) & solid[:-2] & solid[2:]
+    marks[1:-2] = (data[1:-1] == 0x20) & before[:-2] & after[2:]
     sign = close[data]
-    marks[1:-1] |= letter[:-1] & sign[1:] | sign[:-1] & letter[1:] & (data[:-1] != 0x27)
-    line = 1 + np.flatnonzero((data[1:-1] == 0x0A) & solid[:-2] & solid[2:])
+    marks[1:-1] |= ends[:-1] & sign[1:] | sign[:-1] & begins[1:] & (data[:-1] != 0x27)
+    line = 1 + np.flatnonzero((data[1:-1] == 0x0A) & before[:-2] & after[2:])
     marks[line] = marks[line + 1] = True
     return marks
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary writes bytes: a printable byte stands for itself, the others, in
+    order, for the code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in set(plain))
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of many texts; each distinct unit between cuts is encoded once."""
+    """Ids of many texts; each distinct unit between cuts is encoded once.
+
+    A unit of Latin letters with at most a blank in front is one pre-token, so it goes straight to the tokenizer's
+    model; all others take the way through its pre-tokenizer.
+    """
+
+    WORD = re.compile("[ ]?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -74,8 +95,19 @@ class Encoder:
         self.close[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
         for added in self.tokenizer.get_added_tokens_decoder().values():
             self.close[list(added.content.encode())] = False  # such a token must not be cut
+        self.letters = byte_letters()
         self.forget()
 
+    def _encoded(self, fresh: list[str]) -> list[list[int]]:
+        whole = self.WORD.fullmatch
+        rest = [v for v in fresh if not whole(v)]
+        others = {v: e.ids for v, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)}
+        model, letters = self.tokenizer.model, self.letters
+        return [
+            others[v] if v in others else [t.id for t in model.tokenize(v.encode().decode("latin-1").translate(letters))]
+            for v in fresh
+        ]
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat = [np.zeros(0, np.uint32)]
@@ -86,7 +118,7 @@ class Encoder:
         if len(self.known) > CACHED_UNITS:
             self.forget()
         fresh = [v for v in values if v not in self.known]
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        lists = self._encoded(fresh)
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         count = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum()))
