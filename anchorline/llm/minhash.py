@@ -197,4 +197,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     near_duplicates(docs, doc_id, text, words, percent).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct().write.parquet(path)
     dropped = spark.read.parquet(path)
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(dropped, F.col(doc_id) == F.col("__id"), "left_anti")
+    return docs.join(dropped, docs[doc_id] == dropped["__id"], "left_anti")

@@ -24,6 +24,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,8 @@ class Batch:
         self.several = least < most
 
     def keys_by_bucket(self) -> Iterator[tuple[int, bytes]]:
-        edges = np.flatnonzero(np.diff(self.anchor_bucket, prepend=-1))
-        for a, b in zip(edges, [*edges[1:], len(self.anchors)], strict=True):
+        edges = np.append(np.flatnonzero(np.diff(self.anchor_bucket, prepend=-1)), len(self.anchors))
+        for a, b in pairwise(edges):
             yield int(self.anchor_bucket[a]), (self.anchors[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
 
     def set_flags(self, buckets: np.ndarray, shared: list[bytes], hot: list[bytes]) -> None:
@@ -134,8 +135,8 @@ class Batch:
     def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         shard = (self.route % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        edges = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+        for a, b in pairwise(edges):
             yield int(shard[order[a]]), order[a:b]
 
     def factors(self, shards: int, answers: dict[int, bytes]) -> tuple[np.ndarray, ...]:
@@ -182,7 +183,7 @@ def shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     in_batches = counts[inverse]
     edges = np.cumsum([0, *map(len, keys)])
     packed = [
-        [np.packbits(in_batches[a:b] >= least).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        [np.packbits(in_batches[a:b] >= least).tobytes() for a, b in pairwise(edges)]
         for least in (2, HOT_BATCHES)
     ]
     return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "shared": packed[0], "hot": packed[1]})
