@@ -29,3 +29,11 @@ def crc_held_out(doc_id: str = "doc_id") -> Column:
 def parts(total: int, each: int, least: int = 1) -> int:
     """Number of pieces of about ``each`` that hold ``total``."""
     return max(least, -(-int(total) // int(each)))
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

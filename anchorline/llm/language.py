@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from anchorline.llm.frames import fresh_name
 from anchorline.llm.kernels import joined_bytes, ranges, slices_of
 from anchorline.llm.samples import bounded_sample
 
@@ -211,7 +212,7 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None, doc_id: str = "
 
 def keep_known(docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a score of at least ``least``; all columns stay."""
-    flagged = docs.select("*", has_letter(text).alias("__letters"))
+    flagged = docs.select("*", has_letter(text).alias(fresh_name(docs, "__letters")))
     at = docs.columns.index(text)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,6 +103,11 @@ def document_inputs(largest: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(top)), np.log(top / (1 - top)), np.log1p(total)], axis=1)
 
 
+def likely_sum(p: np.ndarray) -> np.ndarray:
+    """Sum of the marginals of at least a tenth, so that length alone adds nothing."""
+    return np.where(p >= 0.1, p, 0).sum(axis=1)
+
+
 def toxic_words(features: np.ndarray, text: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Token labels from document labels: whether a word of a toxic text has a feature with high odds."""
     out = np.zeros(len(features), bool)
@@ -174,7 +179,7 @@ def document_sums(field: Field, features: np.ndarray, laid: Sequences, texts: in
         at = slice(a, a + 2048)
         p, _, _ = field.marginals(field.emissions(features[laid.cell[at]]), laid.real[at])
         np.maximum.at(largest, laid.text[at], p.max(axis=1))
-        np.add.at(total, laid.text[at], p.sum(axis=1))
+        np.add.at(total, laid.text[at], likely_sum(p))
     return largest, total
 
 
@@ -244,7 +249,7 @@ def tag_documents(docs: DataFrame, field: Field | None, doc_id: str = "doc_id",
                     at = slice(c, c + 1024)
                     p, _, _ = field.marginals(field.emissions(features[laid.cell[at]]), laid.real[at])
                     np.maximum.at(largest, laid.text[at], p.max(axis=1))
-                    np.add.at(total, laid.text[at], p.sum(axis=1))
+                    np.add.at(total, laid.text[at], likely_sum(p))
                     for s, t in zip(*np.nonzero(p >= 0.5), strict=True):
                         row, word = laid.text[at][s], laid.cell[at][s, t]
                         shift = bounds[a + row] - bounds[a]
