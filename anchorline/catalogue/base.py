@@ -73,13 +73,13 @@ def features(spark: SparkSession, sf_dir: str, statistics: Sequence[str] = feats
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per specimen with a vital and a lab: anchor, 24 features, death time."""
-    who = anchored(spark, sf_dir)
+    who = cut_lineage(anchored(spark, sf_dir))
     wide = feats.feature_stats(
         feats.window_measurements(hospital.measurement(spark, sf_dir), hospital.concept(spark), who, WINDOWS),
         KEYS, COLUMNS, require=list(WINDOWS),
     )
     died = members.outcomes(who, hospital.death(spark, sf_dir), KEYS)
-    return feats.matrix(who, wide, died, KEYS)
+    return feats.matrix(who.drop("chart_time"), wide, died, KEYS)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from anchorline.catalogue.base import (
-    COLUMNS, FEATURES, KEYS, STAT_SQL, _age, anchored, cohort, features, long, matrix, query, r6, rounded,
+    COLUMNS, FEATURES, KEYS, STAT_SQL, WINDOWS, _age, anchored, cohort, features, long, matrix, query, r6, rounded,
 )
 from anchorline.functions import encode
 from anchorline.functions.times import first_time
 from anchorline.operators import cohort as members, features as feats
+from anchorline.session import cut_lineage
 from anchorline.sources import hospital
 
 
@@ -135,9 +136,9 @@ def join_outcome(spark, sf_dir):
     return members.outcomes(cohort(spark, sf_dir), hospital.death(spark, sf_dir), KEYS)
 
 
-def statics(spark, sf_dir, one_visit=False):
+def statics(spark, sf_dir, one_visit=False, who=None):
     return members.specimen_statics(
-        cohort(spark, sf_dir), hospital.patients(spark, sf_dir), hospital.person(spark, sf_dir),
+        cohort(spark, sf_dir) if who is None else who, hospital.patients(spark, sf_dir), hospital.person(spark, sf_dir),
         hospital.visit_occurrence(spark, sf_dir), hospital.concept(spark), one_visit,
     )
 
@@ -173,9 +174,11 @@ def cohort_query(spark, sf_dir):
         LEFT JOIN death d ON d.person_id = c.person_id""",
 )
 def join_matrix(spark, sf_dir):
-    who = anchored(spark, sf_dir)
+    who = cut_lineage(anchored(spark, sf_dir))
     died = members.outcomes(who, hospital.death(spark, sf_dir), KEYS)
-    whole = feats.matrix(who, features(spark, sf_dir), died, KEYS, statics(spark, sf_dir))
+    rows = feats.window_measurements(hospital.measurement(spark, sf_dir), hospital.concept(spark), who, WINDOWS)
+    wide = feats.feature_stats(rows, KEYS, COLUMNS, require=list(WINDOWS))
+    whole = feats.matrix(who.drop("chart_time"), wide, died, KEYS, statics(spark, sf_dir, who=who))
     return rounded(whole, FEATURES)
 
 

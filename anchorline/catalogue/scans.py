@@ -13,9 +13,9 @@ from anchorline.sources.schemas import fields
 from anchorline.session import cut_lineage, scratch_path
 
 
-@query("scan_table", "SELECT event_id, ts, user_id, event_type, value FROM events")
+@query("scan_table", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def scan_table(spark, sf_dir):
-    return tables.scan_table(spark, f"{sf_dir}/events.parquet", ["event_id", "ts", "user_id", "event_type", "value"])
+    return tables.scan_table(spark, f"{sf_dir}/events.parquet", ["event_id", "ts", "user_id", "event_type", "value", "props"])
 
 
 CSV_TYPES = fields("event_id long, user_id long, event_type string, value double, taken_at timestamp_ntz")
@@ -73,7 +73,7 @@ def append_rows(spark, sf_dir):
     return stored
 
 
-@query("write_csv")
+@query("write_csv", "SELECT micro_specimen_id, person_id, concept_name, value_as_number FROM long")
 def write_csv(spark, sf_dir):
     path = scratch_path(spark, "matrix")
     rows = long(spark, sf_dir).select(*KEYS, "concept_name", "value_as_number")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.encode import binarize
 from anchorline.functions.ordered import running_sums
+from anchorline.session import cut_lineage
 
 
 def confusion(pred: DataFrame, group: Sequence[str], y: str = "y", p: str = "p", threshold: float = 0.5) -> DataFrame:
@@ -36,26 +37,37 @@ def f1() -> Column:
     return F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
 
 
+def score_counts(pred: DataFrame, group: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
+    """Positive and negative rows per group and distinct score."""
+    return pred.groupBy(*group, F.col(p).alias("score")).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    )
+
+
 def thresholds(pred: DataFrame, group: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
     """One row per group and distinct score: rows at the score (``pos``, ``neg``), rows at or above it
     (``tp``, ``fp``) and the class totals (``tp_total``, ``fp_total``)."""
-    scored = pred.groupBy(*group, F.col(p).alias("score")).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
-    )
-    return running_sums(scored, group, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+    return running_sums(score_counts(pred, group, y, p), group, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+
+
+def _auroc() -> Column:
+    below = F.col("fp_total") - F.col("fp") + F.col("neg") / 2.0
+    return F.try_divide(F.sum(F.col("pos") * below), F.max("tp_total").cast("double") * F.max("fp_total"))
+
+
+def _average_precision() -> Column:
+    gain = F.try_divide(F.col("pos").cast("double"), F.col("tp_total")) * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    return F.sum(gain)
 
 
 def auroc(curve: DataFrame, group: Sequence[str]) -> DataFrame:
     """Share of (positive, negative) pairs ranked rightly, ties counting half."""
-    below = F.col("fp_total") - F.col("fp") + F.col("neg") / 2.0
-    pairs = F.max("tp_total").cast("double") * F.max("fp_total")
-    return curve.groupBy(*group).agg(F.try_divide(F.sum(F.col("pos") * below), pairs).alias("auroc"))
+    return curve.groupBy(*group).agg(_auroc().alias("auroc"))
 
 
 def average_precision(curve: DataFrame, group: Sequence[str]) -> DataFrame:
     """Sum over thresholds of recall gained times precision (steps, no interpolation)."""
-    gain = F.try_divide(F.col("pos").cast("double"), F.col("tp_total")) * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return curve.groupBy(*group).agg(F.sum(gain).alias("average_precision"))
+    return curve.groupBy(*group).agg(_average_precision().alias("average_precision"))
 
 
 def mcc_f1_curve(curve: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -104,18 +116,27 @@ def r_squared(df: DataFrame, group: Sequence[str], truth: str, estimate: str) ->
 
 
 def score_table(pred: DataFrame, group: Sequence[str], y: str = "y", p: str = "p", bins: int = 100) -> DataFrame:
-    """All six scores per group as columns."""
-    counts = confusion(pred, group, y, p).select(
+    """All six scores per group as columns.
+
+    The predictions are read once, into a stored table of their distinct scores; the curve over it is stored as well,
+    as three scores are read from it.
+    """
+    scored = cut_lineage(score_counts(pred, group, y, p))
+    hit = binarize("score", 0.5)
+    cells = {"tp": ("pos", 1), "fp": ("neg", 1), "tn": ("neg", 0), "fn": ("pos", 0)}
+    counts = scored.groupBy(*group).agg(
+        *[F.coalesce(F.sum(F.when(hit == side, F.col(n))), F.lit(0)).alias(c) for c, (n, side) in cells.items()]
+    )
+    counts = counts.select(
         *group,
         accuracy().alias("accuracy"),
         balanced_accuracy().alias("balanced_accuracy"),
         f1().alias("f1"),
     )
-    curve = thresholds(pred, group, y, p)
-    return (
-        counts.join(auroc(curve, group), list(group), "left")
-        .join(average_precision(curve, group), list(group), "left")
-        .join(mcc_f1(mcc_f1_curve(curve, group), group, bins), list(group), "left")
+    curve = cut_lineage(running_sums(scored, group, "score", {"tp": "pos", "fp": "neg"}, descending=True))
+    areas = curve.groupBy(*group).agg(_auroc().alias("auroc"), _average_precision().alias("average_precision"))
+    return counts.join(areas, list(group), "left").join(
+        mcc_f1(mcc_f1_curve(curve, group), group, bins), list(group), "left"
     )
 
 

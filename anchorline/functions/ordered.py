@@ -14,7 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET = "__bucket"
-HEX_DIGITS = 3
+CELL = "__cell"  # group and bucket in one struct, so that rows with a null group have a cell like all others
+HEX_DIGITS, LEAST_BUCKETS, ROWS_PER_BUCKET = 8, 256, 200_000
 
 
 def with_order_bucket(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
@@ -34,30 +35,35 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int = 256) -> DataFram
 
 
 def with_hash_bucket(df: DataFrame, ids: Sequence[str], seed: int | str) -> DataFrame:
-    """Add the md5 sort key ``__hash`` of the ids and its leading digits as the bucket."""
-    text = F.concat(*[F.col(c).cast("string") for c in ids], F.lit(str(seed)))
-    return df.withColumn("__hash", F.md5(text)).withColumn(
-        BUCKET, F.conv(F.substring("__hash", 1, HEX_DIGITS), 16, 10).cast("int")
-    )
+    """Add the md5 sort key ``__hash`` of the ids and, as the bucket, its leading digits scaled to a number of
+    buckets that follows the number of rows. Ids are separated by a bar; a null id counts as an empty text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids]
+    text = F.concat(F.concat_ws("|", *parts), F.lit(str(seed)))
+    buckets = F.greatest(F.lit(LEAST_BUCKETS), df.agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET)).scalar())
+    digits = F.conv(F.substring("__hash", 1, HEX_DIGITS), 16, 10).cast("double") / float(16**HEX_DIGITS)
+    return df.withColumn("__hash", F.md5(text)).withColumn(BUCKET, F.floor(digits * buckets).cast("long"))
+
+
+def _with_cell(bucketed: DataFrame, group: Sequence[str]) -> DataFrame:
+    return bucketed.withColumn(CELL, F.struct(*group, BUCKET))
 
 
 def _earlier_cells(cells: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Totals of the earlier buckets and of the whole group, over one small row per cell."""
-    keys = list(group) or [F.lit(0)]
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(f"{CELL}.{g}") for g in group] or [F.lit(0)]
+    before = Window.partitionBy(*keys).orderBy(f"{CELL}.{BUCKET}").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     return cells.select(
-        *group,
-        BUCKET,
+        CELL,
         *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
         *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
     )
 
 
-def _attach(df: DataFrame, cells: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Join per-cell values back. Plain equality keeps the hash partitioning of the cell window, so
-    only the small side moves; a row without a group value belongs to no group and is left out."""
-    return df.join(cells, [*group, BUCKET])
+def _attach(df: DataFrame, cells: DataFrame) -> DataFrame:
+    """Join per-cell values back. The cell struct is never null, and equality on it keeps the hash partitioning of the
+    cell windows, so only the small side moves and rows with a null group stay."""
+    return df.join(cells, CELL).drop(CELL)
 
 
 def running_sums(
@@ -75,15 +81,16 @@ def running_sums(
     bucketed = with_order_bucket(df, order, buckets)
     if descending:
         bucketed = bucketed.withColumn(BUCKET, -F.col(BUCKET))
-    cells = bucketed.groupBy(*group, BUCKET).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    bucketed = _with_cell(bucketed, group)
+    cells = bucketed.groupBy(CELL).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = (
-        Window.partitionBy(*group, BUCKET)
+        Window.partitionBy(CELL)
         .orderBy(direction)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     within = bucketed.withColumns({f"__in_{n}": F.sum(c).over(inside) for n, c in sums.items()})
-    joined = _attach(within, _earlier_cells(cells, group, list(sums)), group)
+    joined = _attach(within, _earlier_cells(cells, group, list(sums)))
     return joined.withColumns({n: F.col(f"__in_{n}") + F.col(f"{n}_before") for n in sums}).drop(
         BUCKET, *[f"__in_{n}" for n in sums], *[f"{n}_before" for n in sums]
     )
@@ -97,11 +104,10 @@ def row_numbers(
     total: str | None = None,
 ) -> DataFrame:
     """Exact ``row_number`` per group of a frame that already carries an order-preserving bucket."""
-    cells = bucketed.groupBy(*group, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    within = bucketed.withColumn(
-        "__in", F.row_number().over(Window.partitionBy(*group, BUCKET).orderBy(*order))
-    )
-    joined = _attach(within, _earlier_cells(cells, group, ["__n"]), group)
+    bucketed = _with_cell(bucketed, group)
+    cells = bucketed.groupBy(CELL).agg(F.count(F.lit(1)).alias("__n"))
+    within = bucketed.withColumn("__in", F.row_number().over(Window.partitionBy(CELL).orderBy(*order)))
+    joined = _attach(within, _earlier_cells(cells, group, ["__n"]))
     joined = joined.withColumn(name, F.col("__in") + F.col("__n_before"))
     if total:
         joined = joined.withColumn(total, F.col("__n_total"))
@@ -126,13 +132,15 @@ def hash_ranks(
     order = ["__hash", *ids]
     if at_most is None:
         return row_numbers(bucketed, group, order, name, total).drop("__hash")
-    cells = bucketed.groupBy(*group, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    bucketed = _with_cell(bucketed, group)
+    cells = bucketed.groupBy(CELL).agg(F.count(F.lit(1)).alias("__n"))
     cells = _earlier_cells(cells, group, ["__n"]).where(F.col("__n_before") < at_most)
-    kept = _attach(bucketed, cells, group)
-    ranked = kept.withColumn(
-        name,
-        F.row_number().over(Window.partitionBy(*group, BUCKET).orderBy(*order)) + F.col("__n_before"),
-    ).where(F.col(name) <= at_most)
+    ranked = (
+        bucketed.join(cells, CELL)
+        .withColumn(name, F.row_number().over(Window.partitionBy(CELL).orderBy(*order)) + F.col("__n_before"))
+        .where(F.col(name) <= at_most)
+        .drop(CELL)
+    )
     if total:
         ranked = ranked.withColumn(total, F.col("__n_total"))
     return ranked.drop(BUCKET, "__hash", "__n_before", "__n_total")

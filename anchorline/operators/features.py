@@ -231,12 +231,20 @@ def matrix(
     keys: Sequence[str],
     statics: DataFrame | None = None,
 ) -> DataFrame:
-    """Members with anchor time, features, outcome time and, where given, static attributes."""
+    """Members with anchor time, features, outcome time and, where given, static attributes.
+
+    A member with several cohort rows (overlapping stays) has one row here, with the earliest anchor: members and
+    outcomes are brought to one row per key before they are joined, so repeated rows do not multiply. Several static
+    rows of a member (overlapping visits) stay several.
+    """
     keys = list(keys)
-    rows = cohort.select(*keys, *[c for c in ("anchor_time",) if c in cohort.columns])
+    times = [c for c in ("anchor_time", "chart_time") if c in cohort.columns]
+    rows = cohort.groupBy(*keys).agg(*[F.min(c).alias(c) for c in times]) if times else cohort.select(*keys).distinct()
+    rows = rows.join(outcome.groupBy(*keys).agg(F.min("death_datetime").alias("death_datetime")), keys)
     if statics is not None:
         rows = rows.join(statics, keys)
-    return rows.join(features, keys).join(outcome, keys)
+    others = [c for c in rows.columns if c not in (*keys, "death_datetime")]
+    return rows.join(features, keys).select(*keys, *others, *[c for c in features.columns if c not in keys], "death_datetime")
 
 
 def whole_partition_stats(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.util import inheritable_thread_target
 
 from anchorline.functions.metrics import METRICS, score_table, scores_long
 from anchorline.operators.labels import stratified_folds
+from anchorline.session import cut_lineage
 
 # fixed values: search grids
 BOOSTED_GRID = {"maxDepth": [6, 9, 12], "positiveWeight": [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4]}
@@ -60,13 +61,15 @@ def model_frame(
 ) -> DataFrame:
     """Ids, features, ``label`` as a double and stratified ``fold``, in partitions sized for fitting."""
     rows = df.select(*ids, *features, F.col(target).cast("int").cast("double").alias("label"))
-    return fit_sized(stratified_folds(rows, "label", ids, k, seed), len(features))
+    return fit_sized(stratified_folds(cut_lineage(rows), "label", ids, k, seed), len(features))
 
 
-def fit_sized(df: DataFrame, width: int, part_bytes: int = 16 << 20) -> DataFrame:
-    """Partitions of about 16 MB of features. A fit runs one small job per iteration, so on little data
-    the number of tasks, and not the data, would set its time; on much data the count grows with it."""
-    return df.repartition(max(1, -(-df.count() * width * 8 // part_bytes)))
+def fit_sized(df: DataFrame, width: int, part_bytes: int = 128 << 20) -> DataFrame:
+    """Stored rows in partitions of about 128 MB of features. A fit runs one small job per iteration, so on little
+    data the number of tasks, and not the data, would set its time; on much data the count grows with it. The rows are
+    stored before they are counted, so nothing upstream runs twice."""
+    stored = cut_lineage(df)
+    return stored.coalesce(max(1, -(-stored.count() * width * 8 // part_bytes)))
 
 
 def with_weights(df: DataFrame, weights: Sequence[float]) -> DataFrame:

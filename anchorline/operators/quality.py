@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.functions.ordered import quantiles_of_counts, value_counts
+from anchorline.session import stored_small
 
 # fixed values: upper quantile left out of the vitals moments, sentinel of labs, rejection distance
 VITALS_QUANTILE = 0.9999
@@ -15,20 +16,6 @@ LABS_SENTINEL = 999999
 REJECT_SD = 3.0
 
 
-def _weighted_moments(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mean and sample deviation per group from (group, value, n), deviations taken from the mean."""
-    means = counts.groupBy(*by).agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"))
-    spread = F.col("n") * F.pow(F.col("value") - F.col("mean"), 2)
-    return (
-        counts.join(means, list(by))
-        .groupBy(*by)
-        .agg(
-            F.first("mean").alias("mean"),
-            F.sqrt(F.try_divide(F.sum(spread), F.sum("n") - 1)).alias("sd"),
-        )
-    )
-
-
 def reject_outliers(
     long: DataFrame,
     by: Sequence[str] = ("concept_name",),
@@ -40,20 +27,20 @@ def reject_outliers(
     """Keep rows at most ``k`` deviations from their group's mean.
 
     Mean and deviation are taken over values strictly below the group's ``quantile`` and different
-    from ``sentinel``. Groups whose deviation is zero or undefined lose all rows. Everything except
-    the last filter works on distinct values per group, not on the rows.
+    from ``sentinel``. Groups whose deviation is zero or undefined lose all rows. Limits and moments are
+    one row per group, combined on the map side; only the quantile needs the distinct values in order.
+    Where there are few groups, the rows themselves are not shuffled.
     """
     by = list(by)
-    counts = value_counts(long, by, value)
-    reference = counts
+    reference = long.where(F.col(value).isNotNull())
     if sentinel is not None:
-        reference = reference.where(F.col("value") != sentinel)
+        reference = reference.where(F.col(value) != sentinel)
     if quantile is not None:
-        limits = quantiles_of_counts(counts, by, {"__limit": quantile})
-        reference = reference.join(limits, by).where(F.col("value") < F.col("__limit")).drop("__limit")
-    moments = _weighted_moments(reference, by)
+        limits = quantiles_of_counts(value_counts(long, by, value), by, {"__limit": quantile})
+        reference = reference.join(stored_small(limits), by).where(F.col(value) < F.col("__limit"))
+    moments = reference.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     distance = F.abs(F.try_divide(F.col(value) - F.col("mean"), F.col("sd")))
-    return long.join(moments, by).where(distance <= k).drop("mean", "sd")
+    return long.join(stored_small(moments), by).where(distance <= k).drop("mean", "sd")
 
 
 def reject_vitals_outliers(long: DataFrame, **options) -> DataFrame:
@@ -127,14 +114,23 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Equal-width bin counts per column between its extremes; the largest value is in the last bin."""
-    long = melt(df, columns).where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    ends = counts.groupBy("column_name").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    position = F.try_divide((F.col("value") - F.col("low")) * bins, F.col("high") - F.col("low"))
-    number = F.least(F.lit(bins), F.floor(F.coalesce(position, F.lit(0.0))) + 1).cast("int")
-    binned = counts.join(ends, "column_name").withColumn("bin", number)
-    return binned.groupBy("column_name", "bin").agg(F.sum("n").alias("n"))
+    """Equal-width bin counts per column between its extremes; the largest value is in the last bin.
+
+    The extremes come to the driver, one pair per column; the bins are then counted in one pass with map-side
+    combining.
+    """
+    ends = _per_column(df, columns, {"low": lambda c: F.min(c), "high": lambda c: F.max(c)})
+    ends = {r["column_name"]: (r["low"], r["high"]) for r in ends.collect()}
+
+    def number(c: str) -> Column:
+        low, high = (F.lit(v).cast("double") for v in ends[c])
+        value = F.col(c).cast("double")
+        position = F.coalesce(F.try_divide((value - low) * bins, high - low), F.lit(0.0))
+        return F.when(value.isNotNull(), F.least(F.lit(bins), F.floor(position) + 1).cast("int"))
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), number(c).alias("bin")) for c in columns])
+    binned = df.select(F.inline(cells)).where(F.col("bin").isNotNull())
+    return binned.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def anomaly_bounds(df: DataFrame, columns: Sequence[str], rule: str = "z", k: float = 3.0) -> DataFrame:
@@ -150,20 +146,15 @@ def anomaly_bounds(df: DataFrame, columns: Sequence[str], rule: str = "z", k: fl
 
 
 def anomaly_summary(df: DataFrame, columns: Sequence[str], rule: str = "z", k: float = 3.0) -> DataFrame:
-    """Per column how many values are missing and how many lie outside the accepted range."""
-    bounds = anomaly_bounds(df, columns, rule, k)
-    outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
-    return (
-        melt(df, columns)
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(bounds, "column_name", "left")
-        .groupBy("column_name")
-        .agg(
-            F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
-            F.sum(F.when(outside, F.col("n")).otherwise(0)).alias("out_of_range"),
-        )
-    )
+    """Per column how many values are missing and how many lie outside the accepted range, whose bounds come to the
+    driver, one row per column. One pass over the wide frame; no rows are shuffled."""
+    bounds = {r["column_name"]: (r["low"], r["high"]) for r in anomaly_bounds(df, columns, rule, k).collect()}
+
+    def outside(c: str) -> Column:
+        low, high = (F.lit(v).cast("double") for v in bounds.get(c, (None, None)))
+        return F.count_if((F.col(c) < low) | (F.col(c) > high))
+
+    return _per_column(df, columns, {"missing": lambda c: F.count_if(F.col(c).isNull()), "out_of_range": outside})
 
 
 def correct_anomalies(df: DataFrame, columns: Sequence[str], rule: str = "z", k: float = 3.0) -> DataFrame:

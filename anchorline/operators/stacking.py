@@ -9,7 +9,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.operators.models import Family, assemble, fit_sized, in_threads, with_weights
-from anchorline.session import cut_lineage
 
 
 def fit_first_level(
@@ -72,4 +71,4 @@ def stack_first_level(
     """
     models = fit_first_level(df.where(~F.col("is_test")), views, families, settings, parallelism)
     outputs = first_level_outputs(df.where("is_test"), views, models, [*ids, "label"])
-    return fit_sized(cut_lineage(outputs), len(models))
+    return fit_sized(outputs, len(models))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(app: str = "anchorline", cpus: str = "*", **conf: str) -> SparkSession:
@@ -59,3 +59,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of any executor and keeps iterative plans short."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+SMALL_ROWS = 100_000
+
+
+def stored_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A stored copy, marked for broadcasting if it has at most ``most`` rows; larger ones are joined as usual."""
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.count() <= most else stored
