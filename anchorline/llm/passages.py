@@ -8,10 +8,11 @@ be brought together without comparing documents in pairs:
 2. A batch sends each distinct anchor once, as 4 bytes, to the bucket its hash names. A bucket answers which anchors
    stand in two or more batches ("shared"), and which in so many that their text must be spread ("hot"). A very
    frequent passage costs one entry per batch, not one per document.
-3. A batch sends the text around its shared anchors, a piece per run of windows, to the shard its anchor names. Equal
-   pieces of a batch go once, with their smallest id. A hot anchor's windows go singly, to the shard that the hash of
-   the whole window names, so no shard collects the surroundings of a frequent passage.
-4. A shard finds, with the solver it is given, the windows of each piece that occur at a smaller id, and answers.
+3. A batch names the pieces around its shared anchors, a piece per run of windows, to the shard that its anchor names:
+   equal pieces once, by a hash of their text, with the smallest id that holds them. A hot anchor's windows go singly, to
+   the shard that the hash of the whole window names, so no shard collects the surroundings of a frequent passage.
+4. Where all pieces of an anchor are equal, as inside long copies, the shard answers at once. Of the others it asks for
+   the text, and then finds, with the solver it is given, the windows of each piece that occur at a smaller id.
 5. A batch puts the answers together per document.
 
 Number and size of batches, buckets and shards follow from the bytes of the table. Ids are compared as numbers; a null
@@ -33,7 +34,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.llm.frames import NULL_ID, parts, total_bytes
-from anchorline.llm.kernels import RangeHash, anchored_runs, ranges, slices_of
+from anchorline.llm.kernels import RangeHash, anchored_runs, byte_codes, ranges, slices_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -60,6 +61,21 @@ Solver = Callable[[Pieces, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 first window in these arrays."""
 
 
+def bounds_of(texts: pa.Array) -> np.ndarray:
+    """Bounds of the values of a large binary array."""
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of equally wide numbers, all first bytes before all second ones, which compresses well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+
+
 class Batch:
     """The rows of one batch in a fixed order, with their runs of windows."""
 
@@ -131,6 +147,12 @@ class Batch:
         self.doc = self.ids[self.p_row[head]]
         self.place = self.p_first[head] - self.tokens.offsets[self.p_row[head]]
         self.windows = self.p_last[head] - self.p_first[head] + 1
+        self.prints = np.empty(len(head), np.uint64)
+        for a, b in slices_of(bounds_of(self.text), 1 << 20):
+            bounds = bounds_of(self.text)[a : b + 1]
+            raw = np.frombuffer(self.text.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+            found = RangeHash(byte_codes()[raw])
+            self.prints[a:b] = found.of(bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
 
     def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         shard = (self.route % np.uint64(shards)).astype(np.int64)
@@ -139,24 +161,35 @@ class Batch:
         for a, b in pairwise(edges):
             yield int(shard[order[a]]), order[a:b]
 
-    def factors(self, shards: int, answers: dict[int, bytes]) -> tuple[np.ndarray, ...]:
+    def wanted(self, shards: int, asked: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """The pieces whose text a shard has asked for."""
+        for shard, pieces in self.by_shard(shards):
+            if shard in asked:
+                yes = np.unpackbits(np.frombuffer(asked[shard], np.uint8), count=len(pieces)).astype(bool)
+                if yes.any():
+                    yield shard, pieces[yes]
+
+    def factors(self, shards: int, told: Told) -> tuple[np.ndarray, ...]:
         """Maximal runs of found windows: row, first window, number of windows, document and place they repeat."""
         got = []
-        for shard, pieces in self.by_shard(shards):
-            if shard in answers:
-                found = np.frombuffer(answers[shard], ANSWER).copy()
-                found["piece"] = pieces[found["piece"]]
-                got.append(found)
+        for replies, groups in ((told.settled, self.by_shard(shards)), (told.solved, self.wanted(shards, told.asked))):
+            for shard, pieces in groups:
+                if shard in replies:
+                    found = np.frombuffer(replies[shard], ANSWER).copy()
+                    found["piece"] = pieces[found["piece"]]
+                    got.append(found)
         answer = np.concatenate(got) if got else np.zeros(0, ANSWER)
+        whole = answer["count"] == 0  # a settled piece repeats in all its windows
+        answer["count"][whole] = self.windows[answer["piece"][whole]]
         # answers reach every holder of the piece
         holders = np.argsort(self.piece_of, kind="stable")
         size = np.bincount(self.piece_of, minlength=len(self.doc))
         begin = np.cumsum(size) - size
         each = size[answer["piece"]]
         holder = holders[ranges(begin[answer["piece"]], each)]
-        told = answer[np.repeat(np.arange(len(answer)), each)]
-        rows, first = [self.p_row[holder]], [self.p_first[holder] + told["start"]]
-        count, ref_doc, ref_place = [told["count"].astype(np.int64)], [told["ref_doc"]], [told["ref_place"]]
+        found = answer[np.repeat(np.arange(len(answer)), each)]
+        rows, first = [self.p_row[holder]], [self.p_first[holder] + found["start"]]
+        count, ref_doc, ref_place = [found["count"].astype(np.int64)], [found["ref_doc"]], [found["ref_place"]]
         # and what the smallest holder in this batch has, all later holders repeat
         later = np.flatnonzero(self.ids[self.p_row] > self.doc[self.piece_of])
         rows.append(self.p_row[later])
@@ -166,11 +199,11 @@ class Batch:
         ref_place.append(self.place[self.piece_of[later]])
         return tuple(np.concatenate(x) for x in (rows, first, count, ref_doc, ref_place))
 
-    def removed(self, shards: int, answers: dict[int, bytes]) -> np.ndarray:
+    def removed(self, shards: int, told: Told) -> np.ndarray:
         """Which tokens a found window covers."""
         n = len(self.tokens.offsets) and int(self.tokens.offsets[-1])
         edge = np.zeros(n + 1, np.int32)
-        _, first, count, _, _ = self.factors(shards, answers)
+        _, first, count, _, _ = self.factors(shards, told)
         np.add.at(edge, first, 1)
         np.add.at(edge, first + count + self.span - 1, -1)
         return np.cumsum(edge[:n]) > 0
@@ -189,14 +222,42 @@ def shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"batch": rows.column("batch"), "bucket": rows.column("bucket"), "shared": packed[0], "hot": packed[1]})
 
 
+def settle_shard(key: tuple, rows: pa.Table) -> pa.Table:
+    """Answer the pieces of anchors that have one text only, and ask for the texts of all others."""
+    records = rows.to_pylist()
+    doc, place, print_, sign = (
+        np.concatenate([from_planes(r[n], kind) for r in records])
+        for n, kind in (("docs", "<i8"), ("places", "<i8"), ("prints", "<u8"), ("signs", "<u4"))
+    )
+    order = np.lexsort((place, doc, sign))
+    first = np.flatnonzero(np.diff(sign[order].astype(np.int64), prepend=-1))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(np.diff(sign[order].astype(np.int64), prepend=-1) != 0) - 1
+    low, high = np.minimum.reduceat(print_[order], first), np.maximum.reduceat(print_[order], first)
+    ask = (low != high)[group]
+    head = order[first][group]
+    repeats = np.flatnonzero(~ask & (doc[head] < doc))
+    out = np.zeros(len(repeats), ANSWER)
+    out["ref_doc"], out["ref_place"] = doc[head[repeats]], place[head[repeats]]
+    edges = np.cumsum([0, *[len(r["signs"]) // 4 for r in records]])
+    cut = np.searchsorted(repeats, edges)
+    settled, asked = [], []
+    for i, (a, b) in enumerate(pairwise(edges)):
+        mine = out[cut[i] : cut[i + 1]]
+        mine["piece"] = repeats[cut[i] : cut[i + 1]] - a
+        settled.append(mine.tobytes())
+        asked.append(np.packbits(ask[a:b]).tobytes() if ask[a:b].any() else None)
+    return pa.table({"batch": rows.column("batch"), "shard": rows.column("shard"), "settled": settled, "asked": pa.array(asked, pa.binary())})
+
+
 def solve_shard(rows: pa.Table, span: int, solver: Solver) -> pa.Table:
     """Solve a shard block by block; pieces of one anchor stand in one block."""
     records = rows.to_pylist()
-    doc = np.concatenate([np.frombuffer(r["docs"], "<i8") for r in records])
-    place = np.concatenate([np.frombuffer(r["places"], "<i8") for r in records])
-    route = np.concatenate([np.frombuffer(r["routes"], "<u8") for r in records])
-    windows = np.concatenate([np.frombuffer(r["windows"], "<u4") for r in records]).astype(np.int64)
-    sizes = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in records]).astype(np.int64)
+    doc, place, route, windows, sizes = (
+        np.concatenate([from_planes(r[n], kind) for r in records])
+        for n, kind in (("docs", "<i8"), ("places", "<i8"), ("routes", "<u8"), ("windows", "<u4"), ("sizes", "<u4"))
+    )
+    windows, sizes = windows.astype(np.int64), sizes.astype(np.int64)
     data = b"".join(r["texts"] for r in records)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     cells = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
@@ -253,7 +314,7 @@ def solve_shard(rows: pa.Table, span: int, solver: Solver) -> pa.Table:
 def repeated_passages(
     docs: DataFrame, tokenize, solver: Solver, finish, schema: str, span: int, gram: int, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Run the steps above and call ``finish(batch, shards, answers)`` for the rows of each batch.
+    """Run the steps above and call ``finish(batch, shards, told)`` for the rows of each batch.
 
     ``gram`` is the length of an anchor: short ones are fewer, long ones are seldom shared by chance. An empty table
     gives no rows; a null text has no tokens.
@@ -271,45 +332,90 @@ def repeated_passages(
              "keys": pa.array([k for _, k in sent], pa.binary())}
         )
 
-    def opened(rows: pa.Table, flags: pa.Table) -> Batch:
+    def opened(rows: pa.Table, told: pa.Table) -> Batch:
         batch = Batch(rows, tokenize, span, gram, buckets)
-        batch.set_flags(flags.column("bucket").to_numpy(), flags.column("shared").to_pylist(), flags.column("hot").to_pylist())
+        flags = told.filter(pc.equal(told.column("kind"), FLAGS))
+        batch.set_flags(flags.column("place").to_numpy(), flags.column("one").to_pylist(), flags.column("two").to_pylist())
         return batch
 
-    def send_pieces(key: tuple, rows: pa.Table, flags: pa.Table) -> pa.Table:
+    def send_prints(key: tuple, rows: pa.Table, flags: pa.Table) -> pa.Table:
         batch = opened(rows, flags) if rows.num_rows else None
-        sent: dict[str, list] = {n: [] for n in ("shard", "docs", "places", "routes", "windows", "sizes", "texts")}
+        sent: dict[str, list] = {n: [] for n in ("shard", "docs", "places", "prints", "signs")}
         for shard, mine in batch.by_shard(shards) if batch else ():
+            sent["shard"].append(shard)
+            sent["docs"].append(planes(batch.doc[mine].astype("<i8")))
+            sent["places"].append(planes(batch.place[mine].astype("<i8")))
+            sent["prints"].append(planes(batch.prints[mine].astype("<u8")))
+            sent["signs"].append(planes((batch.route[mine] >> np.uint64(32)).astype("<u4")))
+        return as_table(key, sent)
+
+    def send_texts(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
+        batch = opened(rows, told) if rows.num_rows else None
+        sent: dict[str, list] = {n: [] for n in ("shard", "docs", "places", "routes", "windows", "sizes", "texts")}
+        for shard, mine in batch.wanted(shards, Told.of(told).asked) if batch else ():
             text = batch.text.take(pa.array(mine))
-            bounds = np.frombuffer(text.buffers()[1], np.int64)[: len(mine) + 1]
+            bounds = bounds_of(text)
             sent["shard"].append(shard)
-            sent["docs"].append(batch.doc[mine].astype("<i8").tobytes())
-            sent["places"].append(batch.place[mine].astype("<i8").tobytes())
-            sent["routes"].append(batch.route[mine].astype("<u8").tobytes())
-            sent["windows"].append(batch.windows[mine].astype("<u4").tobytes())
-            sent["sizes"].append(np.diff(bounds).astype("<u4").tobytes())
+            sent["docs"].append(planes(batch.doc[mine].astype("<i8")))
+            sent["places"].append(planes(batch.place[mine].astype("<i8")))
+            sent["routes"].append(planes(batch.route[mine].astype("<u8")))
+            sent["windows"].append(planes(batch.windows[mine].astype("<u4")))
+            sent["sizes"].append(planes(np.diff(bounds).astype("<u4")))
             sent["texts"].append(text.buffers()[2].to_pybytes()[bounds[0] : bounds[-1]])
-        columns = {"shard": pa.array(sent.pop("shard"), pa.int32())}
-        columns["batch"] = pa.array([key[0].as_py()] * len(columns["shard"]), pa.int32())
-        return pa.table(columns | {n: pa.array(v, pa.binary()) for n, v in sent.items()})
+        return as_table(key, sent)
 
     def conclude(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        flags = told.filter(pc.equal(told.column("kind"), 0))
-        answers = told.filter(pc.equal(told.column("kind"), 1))
-        by_shard = dict(zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True))
-        return finish(opened(rows, flags), shards, by_shard)
+        return finish(opened(rows, told), shards, Told.of(told))
 
     by_batch = dealt.groupBy("batch")
     keys = by_batch.applyInArrow(send_keys, "bucket int, batch int, keys binary")
     flags = keys.groupBy("bucket").applyInArrow(shared_anchors, "batch int, bucket int, shared binary, hot binary")
-    pieces = by_batch.cogroup(flags.groupBy("batch")).applyInArrow(
-        send_pieces,
-        "shard int, batch int, docs binary, places binary, routes binary, windows binary, sizes binary, texts binary",
+    flags = _reply(flags, FLAGS, "bucket", "shared", "hot")
+    prints = by_batch.cogroup(flags.groupBy("batch")).applyInArrow(
+        send_prints, "batch int, shard int, docs binary, places binary, prints binary, signs binary"
     )
-    answers = pieces.groupBy("shard").applyInArrow(
+    settled = prints.groupBy("shard").applyInArrow(settle_shard, "batch int, shard int, settled binary, asked binary")
+    known = flags.unionByName(_reply(settled, SETTLED, "shard", "settled", "asked"))
+    texts = by_batch.cogroup(known.groupBy("batch")).applyInArrow(
+        send_texts,
+        "batch int, shard int, docs binary, places binary, routes binary, windows binary, sizes binary, texts binary",
+    )
+    solved = texts.groupBy("shard").applyInArrow(
         lambda key, rows: solve_shard(rows, span, solver), "batch int, shard int, answer binary"
     )
-    told = flags.withColumn("kind", F.lit(0)).unionByName(
-        answers.select("batch", F.col("shard").alias("bucket"), F.col("answer").alias("shared"), F.lit(None).cast("binary").alias("hot"), F.lit(1).alias("kind"))
-    )
+    told = known.unionByName(_reply(solved, SOLVED, "shard", "answer", None))
     return by_batch.cogroup(told.groupBy("batch")).applyInArrow(conclude, schema)
+
+
+FLAGS, SETTLED, SOLVED = 0, 1, 2
+
+
+def _reply(frame: DataFrame, kind: int, place: str, one: str, two: str | None) -> DataFrame:
+    """Replies of all kinds in one form: batch, kind, bucket or shard, and up to two byte strings."""
+    second = F.col(two) if two else F.lit(None).cast("binary")
+    return frame.select("batch", F.lit(kind).alias("kind"), F.col(place).alias("place"), F.col(one).alias("one"), second.alias("two"))
+
+
+def as_table(key: tuple, sent: dict[str, list]) -> pa.Table:
+    shard = pa.array(sent["shard"], pa.int32())
+    columns = {"batch": pa.array([key[0].as_py()] * len(shard), pa.int32()), "shard": shard}
+    return pa.table(columns | {n: pa.array(v, pa.binary()) for n, v in sent.items() if n != "shard"})
+
+
+@dataclass
+class Told:
+    """What the shards have told a batch, by shard: settled pieces, texts asked for, solved pieces."""
+
+    settled: dict[int, bytes]
+    asked: dict[int, bytes]
+    solved: dict[int, bytes]
+
+    @classmethod
+    def of(cls, told: pa.Table) -> Told:
+        out = {SETTLED: {}, SOLVED: {}}
+        asked = {}
+        for row in told.filter(pc.not_equal(told.column("kind"), FLAGS)).to_pylist():
+            out[row["kind"]][row["place"]] = row["one"]
+            if row["two"] is not None:
+                asked[row["place"]] = row["two"]
+        return cls(out[SETTLED], asked, out[SOLVED])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from anchorline.llm.frames import NULL_ID
 from anchorline.llm.kernels import RangeHash, WordTokens, mix, ranges
-from anchorline.llm.passages import Batch, Pieces, repeated_passages
+from anchorline.llm.passages import Batch, Pieces, Told, repeated_passages
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -64,10 +64,10 @@ def parse_block(pieces: Pieces, span: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[source], place[source]
 
 
-def factors_of(batch: Batch, shards: int, answers: dict[int, bytes]) -> tuple[np.ndarray, ...]:
+def factors_of(batch: Batch, shards: int, told: Told) -> tuple[np.ndarray, ...]:
     """Factors in order: row, first word in the document, words, source document and word. Factors may overlap by
     less than a window, where the source changes."""
-    row, first, count, ref_doc, ref_place = batch.factors(shards, answers)
+    row, first, count, ref_doc, ref_place = batch.factors(shards, told)
     first = first - batch.tokens.offsets[row]
     order = np.lexsort((ref_doc, first, row))
     row, first, count, ref_doc, ref_place = (x[order] for x in (row, first, count, ref_doc, ref_place))
@@ -83,10 +83,10 @@ def factors_of(batch: Batch, shards: int, answers: dict[int, bytes]) -> tuple[np
     return row[begin], first[begin], stop - first[begin] + batch.span - 1, ref_doc[begin], ref_place[begin]
 
 
-def cut_documents(batch: Batch, shards: int, answers: dict[int, bytes], with_kept: bool) -> pa.Table:
+def cut_documents(batch: Batch, shards: int, told: Told, with_kept: bool) -> pa.Table:
     tokens = batch.tokens
-    removed = batch.removed(shards, answers)
-    factors = np.bincount(factors_of(batch, shards, answers)[0], minlength=len(batch.ids))
+    removed = batch.removed(shards, told)
+    factors = np.bincount(factors_of(batch, shards, told)[0], minlength=len(batch.ids))
     out: dict[str, list] = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "kept")}
     for a, b in zip(tokens.offsets[:-1], tokens.offsets[1:], strict=True):
         n = int(np.count_nonzero(removed[a:b]))
@@ -113,8 +113,8 @@ def cut_documents(batch: Batch, shards: int, answers: dict[int, bytes], with_kep
     )
 
 
-def list_factors(batch: Batch, shards: int, answers: dict[int, bytes]) -> pa.Table:
-    row, first, words, ref_doc, ref_place = factors_of(batch, shards, answers)
+def list_factors(batch: Batch, shards: int, told: Told) -> pa.Table:
+    row, first, words, ref_doc, ref_place = factors_of(batch, shards, told)
     doc = batch.ids[row]
     columns = {"first_word": first, "n_words": words, "source_doc": ref_doc, "source_word": ref_place}
     return pa.table(

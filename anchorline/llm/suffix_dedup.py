@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from anchorline.llm.frames import NULL_ID
 from anchorline.llm.kernels import ByteTokens, ranges
-from anchorline.llm.passages import Batch, Pieces, repeated_passages
+from anchorline.llm.passages import Batch, Pieces, Told, repeated_passages
 from anchorline.llm.suffixes import common_prefixes, suffix_array
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,8 +53,8 @@ def smallest_holders(pieces: Pieces, span: int) -> tuple[np.ndarray, np.ndarray]
     return out_doc, out_place
 
 
-def cut_documents(batch: Batch, shards: int, answers: dict[int, bytes], with_kept: bool) -> pa.Table:
-    removed = batch.removed(shards, answers)
+def cut_documents(batch: Batch, shards: int, told: Told, with_kept: bool) -> pa.Table:
+    removed = batch.removed(shards, told)
     data, offsets = batch.tokens.data, batch.tokens.offsets
     out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
