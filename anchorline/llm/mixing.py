@@ -1,15 +1,16 @@
 """Mixing documents to target token totals per domain, with soft membership.
 
 1. A classifier learned from a labelled table gives every document a probability for each domain. Its inputs are the
-   evidence of the document's words for each domain and the shares of symbols and capitals. Word odds are counted over
-   hashed slots; one logistic curve per domain is fitted by Newton steps whose sums are aggregates over the labelled
-   rows; the curves are scaled to sum to one.
+   evidence of the document's words for each domain and the shares of symbols and capitals. It learns from at most
+   ``SAMPLE_EACH`` labelled documents per domain: word odds are counted over hashed slots, then one logistic curve per
+   domain is fitted by Newton steps on the sample's few inputs; the curves are scaled to sum to one.
 2. A document with n tokens and probabilities p gives n p_k tokens to domain k, times its rate. Rates start at 1 and are
    moved by projected gradient steps on the squared distance between expected totals and targets, measured by the
    inverse of sum n p p'. A step needs only the domain totals, so a round is one small aggregate over the stored
    probabilities, and a rate is a function of the document's own probabilities and the steps so far.
 
-Everything runs as DataFrame expressions. What reaches the driver has a size set by the number of domains alone.
+Everything runs as DataFrame expressions. The sampled ids are broadcast, so no text is shuffled. What reaches the driver
+has a size set by the number of domains, SLOTS and SAMPLE_EACH.
 """
 
 from __future__ import annotations
@@ -20,10 +21,12 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
+from anchorline.llm.samples import bounded_sample
 from anchorline.session import cut_lineage
 
 SLOTS = 1 << 16
-STRONG, HOLDERS = 8.0, 5  # odds and documents from which on a slot counts as evidence
+SAMPLE_EACH = 15_000
+STRONG, HOLDERS = 8.0, 5  # odds and documents of the domain from which on a slot is evidence
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -35,9 +38,12 @@ def quality_domain(quality: str = "quality", toxic: str = "toxic") -> Column:
     )
 
 
-def _slots(text: Column) -> Column:
-    words = F.array_distinct(F.split(F.lower(text), NOT_A_WORD))
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_A_WORD), lambda w: w != "")
+
+
+def _slots(words: Column) -> Column:
+    return F.transform(F.array_distinct(words), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int"))
 
 
 def _share(text: Column, pattern_chars: str) -> Column:
@@ -51,7 +57,7 @@ def word_odds(labelled: DataFrame, domains: list[str]) -> DataFrame:
 
     ``labelled`` has ``text`` and ``domain``. Counts are combined on the map side; their number is bounded by SLOTS.
     """
-    each = labelled.select("domain", F.explode(_slots(F.coalesce("text", F.lit("")))).alias("slot"))
+    each = labelled.select("domain", F.explode(_slots(_words(F.col("text")))).alias("slot"))
     held = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)]
     slots = each.groupBy("slot").agg(*held)
     totals = labelled.agg(*held).first()
@@ -82,40 +88,27 @@ def with_inputs(docs: DataFrame, odds: Row) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     evidence = [F.log1p(_summed(w)) for w in odds]
     symbols, capitals = _share(text, "$%&*#|@^~_=+<>\\"), _share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    words = F.size(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    return docs.withColumn("__slots", _slots(text)).select(
-        *docs.columns, F.array(F.lit(1.0), *evidence, F.sqrt(symbols), F.sqrt(capitals)).alias("x"), words.cast("long").alias("n")
-    )
+    worded = docs.withColumn("__words", _words(F.col("text"))).withColumn("__slots", _slots(F.col("__words")))
+    inputs = F.array(F.lit(1.0), *evidence, F.sqrt(symbols), F.sqrt(capitals))
+    return worded.select(*docs.columns, inputs.alias("x"), F.size("__words").cast("long").alias("n"))
 
 
 def _dot(x: Column, w) -> Column:
     return reduce(lambda a, b: a + b, [F.get(x, i) * float(v) for i, v in enumerate(w)])
 
 
-def fit_curves(rows: DataFrame, domains: list[str], rounds: int = 12, ridge: float = 0.1) -> np.ndarray:
-    """Weights of one logistic curve per domain, by Newton steps; all sums of a round come from one aggregate."""
-    width = 3 + len(domains)
-    curves = np.zeros((len(domains), width))
-    x = [F.get("x", i) for i in range(width)]
-    for _ in range(rounds):
-        sums = []
-        for k, d in enumerate(domains):
-            p = 1 / (1 + F.exp(-_dot(F.col("x"), curves[k])))
-            miss, slope = p - (F.col("domain") == d).cast("double"), p * (1 - p)
-            sums += [F.sum(miss * v) for v in x]
-            sums += [F.sum(slope * x[i] * x[j]) for i in range(width) for j in range(i, width)]
-        got = np.array([v or 0.0 for v in rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()])
-        moved = 0.0
-        for k, part in enumerate(got.reshape(len(domains), -1)):
-            hessian = np.zeros((width, width))
-            hessian[np.triu_indices(width)] = part[width:]
-            hessian = hessian + np.triu(hessian, 1).T + ridge * np.eye(width)
-            step = np.linalg.solve(hessian, part[:width] + ridge * curves[k])
-            step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-            curves[k] -= step
-            moved = max(moved, np.abs(step).max())
-        if moved < 1e-4:
-            break
+def fit_curves(inputs: np.ndarray, domain: np.ndarray, domains: int, rounds: int = 30, ridge: float = 0.1) -> np.ndarray:
+    """Weights of one logistic curve per domain, by damped Newton steps on the sample."""
+    curves = np.zeros((domains, inputs.shape[1]))
+    for k, w in enumerate(curves):
+        y = domain == k
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(inputs @ w, -35, 35)))
+            hessian = (inputs * (p * (1 - p))[:, None]).T @ inputs + ridge * np.eye(len(w))
+            step = np.linalg.solve(hessian, inputs.T @ (p - y) + ridge * w)
+            w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+            if np.abs(step).max() < 1e-5:
+                break
     return curves
 
 
@@ -129,7 +122,7 @@ def _moved(rate: Column, p: Column, step) -> Column:
     return F.greatest(F.lit(0.0), rate - _dot(p, step))
 
 
-def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int = 25, tolerance: float = 1e-6) -> list[np.ndarray]:
+def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int = 25, tolerance: float = 1e-5) -> list[np.ndarray]:
     """Steps of the projected gradient for rows with ``n`` and ``p``; see ``_moved`` for how a step moves a rate.
 
     The gradient is scaled by the inverse of sum n p p' over the documents whose rate is not 0; a step that does not
@@ -193,7 +186,7 @@ class Mixture:
 
 def fit_mixture(
     docs: DataFrame, labels: DataFrame, keep: dict[str, float], doc_id: str = "doc_id", text: str = "text",
-    as_kept: bool = False,
+    as_kept: bool = False, sample_each: int = SAMPLE_EACH,
 ) -> tuple[Mixture, DataFrame]:
     """Fit classifier and rates; returns them and the rows (doc_id, n, p) they were fitted on.
 
@@ -203,10 +196,13 @@ def fit_mixture(
     """
     domains, shares = list(keep), list(keep.values())
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = labels.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("doc_id"), "domain")
-    odds = word_odds(rows.join(known, "doc_id").select("text", "domain"), domains).first()
+    known = labels.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("doc_id"), "domain").where("doc_id IS NOT NULL")
+    picked = F.broadcast(bounded_sample(known, "domain", ["doc_id"], sample_each))
+    odds = word_odds(rows.join(picked, "doc_id").select("text", "domain"), domains).first()
     seen = cut_lineage(with_inputs(rows, odds).drop("text"))
-    curves = fit_curves(seen.join(known, "doc_id"), domains)
+    sample = seen.join(picked, "doc_id").select("x", "domain").collect()
+    x = np.array([r["x"] for r in sample], float).reshape(len(sample), 3 + len(domains))
+    curves = fit_curves(x, np.array([domains.index(r["domain"]) for r in sample], int), len(domains))
     held = cut_lineage(seen.select("doc_id", "n", posteriors(seen, curves).alias("p")))
     weight = _dot(F.col("p"), shares) if as_kept else F.lit(1.0)
     totals = held.agg(*[F.sum(F.col("n") * F.get("p", k) * weight).alias(f"t{k}") for k in range(len(domains))]).first()
@@ -219,8 +215,8 @@ def soft_mixture(
 ) -> DataFrame:
     """Per row of ``docs``: id, words, probability of each domain (in the order of ``keep``), likeliest domain, rate.
 
-    ``labels`` has the id and ``domain``; rows without one are left out, and an id with several domains counts for
-    each. ``keep`` names the domains and, for each, the share of its expected tokens that the mixture shall hold; a
+    ``labels`` has the id and ``domain``; rows without one of them are left out, and an id with several domains counts
+    for each. ``keep`` names the domains and, for each, the share of its expected tokens that the mixture shall hold; a
     share above 1 asks for more. Null texts have no words, and a document without words has no part in the totals but
     gets a rate; repeated rows count as often as they stand. Without labelled rows all domains are equally likely.
     """

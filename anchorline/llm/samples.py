@@ -11,17 +11,13 @@ def bounded_sample(rows: DataFrame, group: str, identity: list[str], each: int)
     """At most ``each`` rows per value of ``group``, picked by a hash of ``identity``.
 
     The counts per value are read first, and a hash filter leaves about twice the wanted number before rows are
-    ranked, so no task ranks a whole group. ``group`` has few values (classes), as a classifier needs.
+    ranked, so no task ranks a whole group. ``group`` has no nulls and few values (classes), as a classifier needs.
     """
-    spark = rows.sparkSession
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return rows.limit(0)
-    share = spark.createDataFrame(
-        [(r[0], min(MANY, int(MANY * (2.0 * each + 50) / r["n"]))) for r in counts],
-        rows.select(F.col(group).alias("__group"), F.lit(1).cast("long").alias("__share")).schema,
-    )
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(MANY, int(MANY * (2.0 * each + 50) / r["n"])))])
     draw = F.xxhash64(*identity, F.lit("sample"))
-    few = rows.join(F.broadcast(share), F.col(group) == F.col("__group")).where(F.pmod(draw, F.lit(MANY)) < F.col("__share"))
+    few = rows.where(F.pmod(draw, F.lit(MANY)) < F.element_at(shares, F.col(group)))
     ranked = few.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(draw, *identity)))
-    return ranked.where(F.col("__rank") <= each).drop("__group", "__share", "__rank")
+    return ranked.where(F.col("__rank") <= each).drop("__rank")
