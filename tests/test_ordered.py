@@ -50,3 +50,27 @@ def test_quantiles(data):
     for r in out.collect():
         mine = [v for g, _, v in rows if g == r.g]
         assert (r.a, r.b, r.c) == pytest.approx(tuple(np.quantile(mine, [0.25, 0.9999, 1.0])))
+
+
+def test_rows_with_null_groups_or_ids_stay(spark):
+    from anchorline.operators import labels
+
+    rows = [(i if i % 5 else None, (i % 2 == 0) if i % 7 else None, float(i % 9)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, target boolean, v double")
+    folds = labels.stratified_folds(df, "target", ["id"]).collect()
+    assert len(folds) == 100
+    for kind in (True, False, None):
+        sizes = [sum(1 for r in folds if r["target"] is kind and r["fold"] == f) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+    assert labels.sample_n(df, 100, ["id"]).count() == 100 and labels.sample_n(df, 60, ["id"]).count() == 60
+    assert labels.split_train_test(df, 0.3, ["id"]).where("is_test").count() == 30
+    counts = df.groupBy("target", "v").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    totals = {r["target"]: r["cum_total"] for r in running_sums(counts, ["target"], "v", {"cum": "n"}).collect()}
+    assert totals == {k: sum(1 for r in rows if r[1] is k) for k in (True, False, None)}
+
+
+def test_ids_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 23), (12, 3)], "a long, b long")
+    from anchorline.functions.ordered import with_hash_bucket
+
+    assert with_hash_bucket(df, ["a", "b"], 1).select("__hash").distinct().count() == 2
