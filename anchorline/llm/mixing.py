@@ -202,7 +202,14 @@ def fit_mixture(
     seen = cut_lineage(with_inputs(rows, odds).drop("text"))
     sample = seen.join(picked, "doc_id").select("x", "domain").collect()
     x = np.array([r["x"] for r in sample], float).reshape(len(sample), 3 + len(domains))
-    curves = fit_curves(x, np.array([domains.index(r["domain"]) for r in sample], int), len(domains))
+    drawn = np.array([domains.index(r["domain"]) for r in sample], int)
+    curves = fit_curves(x, drawn, len(domains))
+    # the sample holds large domains in part only: move the curves back to the shares among all labelled rows
+    there = dict(known.groupBy("domain").count().collect())
+    for k, domain in enumerate(domains):
+        seen_of, all_of = int((drawn == k).sum()), there.get(domain, 0)
+        if 0 < seen_of < len(drawn) and 0 < all_of < sum(there.values()):
+            curves[k, 0] += np.log(all_of / (sum(there.values()) - all_of)) - np.log(seen_of / (len(drawn) - seen_of))
     held = cut_lineage(seen.select("doc_id", "n", posteriors(seen, curves).alias("p")))
     weight = _dot(F.col("p"), shares) if as_kept else F.lit(1.0)
     totals = held.agg(*[F.sum(F.col("n") * F.get("p", k) * weight).alias(f"t{k}") for k in range(len(domains))]).first()

@@ -30,9 +30,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their rates, so that poor and toxic ones get rarer and the rest stays."""
+    """Documents drawn by their rates: poor and toxic ones get rarer, the rest stays, a few of them twice."""
     labels = table(spark, sf_dir, "labels").withColumn("domain", mixing.quality_domain())
-    fitted, _ = mixing.fit_mixture(docs, labels, KEEP, as_kept=True)
+    fitted, _ = mixing.fit_mixture(docs, labels, KEEP)
     return fitted.drawn(docs)
 
 
