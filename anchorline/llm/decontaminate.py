@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from anchorline.llm.frames import parts, total_bytes
-from anchorline.llm.kernels import RangeHash, joined_bytes, lower_bytes, ranges, slices_of, word_bounds, word_hashes
+from anchorline.llm.frames import map_arrow, parts, total_bytes
+from anchorline.llm.kernels import RangeHash, joined_bytes, lower_bytes, ranges, slices_of, text_bounds, word_bounds, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -156,14 +156,14 @@ def find_leaks(
     def block_pass(seeds: Seeds) -> DataFrame:
         def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b in slices_of(joined_bytes(batch.column(1))[1], SLICE_BYTES):
+                for a, b in slices_of(text_bounds(batch.column(1)), SLICE_BYTES):
                     found = list(leaks_in(batch.column(1).slice(a, b - a), seeds, match, coverage))
                     columns = [batch.column(0).take(pa.array([a + f[0] for f in found], pa.int64()))]
                     columns.append(pa.array([seeds.ids[f[1]] for f in found], pa.int64()))
                     columns += [pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return rows.mapInArrow(search, ", ".join(f"{n} long" for n in names))
+        return map_arrow(rows, search, ", ".join(f"{n} long" for n in names))
 
     passes = [block_pass(s) for s in seed_blocks(benchmark, match, item_id, item_text)]
     found = reduce(DataFrame.unionAll, passes) if passes else rows.sparkSession.createDataFrame([], ", ".join(f"{n} long" for n in names))
@@ -181,12 +181,12 @@ def drop_leaks(
         def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for a, b in slices_of(joined_bytes(batch.column(at))[1], SLICE_BYTES):
+                for a, b in slices_of(text_bounds(batch.column(at)), SLICE_BYTES):
                     clean[[a + f[0] for f in leaks_in(batch.column(at).slice(a, b - a), seeds, match, coverage)]] = False
                 yield batch.filter(pa.array(clean))
 
         return keep
 
     for seeds in seed_blocks(benchmark, match, item_id, item_text):
-        docs = docs.mapInArrow(without(seeds), docs.schema)
+        docs = map_arrow(docs, without(seeds), docs.schema)
     return docs

@@ -78,6 +78,12 @@ def joined_bytes(texts: pa.Array, end: str = "") -> tuple[np.ndarray, np.ndarray
     return data, bounds - bounds[0]
 
 
+def text_bounds(texts: pa.Array) -> np.ndarray:
+    """Bounds of the texts' bytes, without touching the bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All places of the ranges [start, start + size), one range after another."""
     ends = np.cumsum(sizes)

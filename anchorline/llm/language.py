@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anchorline.llm.frames import fresh_name
+from anchorline.llm.frames import fresh_name, map_arrow
 from anchorline.llm.kernels import joined_bytes, ranges, slices_of
 from anchorline.llm.samples import bounded_sample
 
@@ -160,7 +160,7 @@ def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", te
                 {"lang": batch.column(1).take(pa.array(number)), "bytes": pa.array([w.tobytes() for w in windows], pa.binary())}
             )
 
-    found = sorted(tuple(r) for r in picked.select("text", "lang").mapInArrow(cut, "lang string, bytes binary").collect())
+    found = sorted(tuple(r) for r in map_arrow(picked.select("text", "lang"), cut, "lang string, bytes binary").collect())
     if not found:
         return None
     languages = sorted({r[0] for r in found})
@@ -207,7 +207,7 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None, doc_id: str = "
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "lang_pred": pa.array(names, pa.string()), "score": score})
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return map_arrow(rows, predict, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, text: str = "text") -> DataFrame:
@@ -222,4 +222,4 @@ def keep_known(docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, t
             best, score = classify(batch.column(at), flags, model, tables)
             yield batch.select(range(batch.num_columns - 1)).filter(pa.array((best >= 0) & (score >= least)))
 
-    return flagged.mapInArrow(keep, docs.schema)
+    return map_arrow(flagged, keep, docs.schema)

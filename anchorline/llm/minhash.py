@@ -23,7 +23,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from anchorline.llm.components import components
-from anchorline.llm.kernels import RangeHash, WordTokens, joined_bytes, mix, ranges, slices_of
+from anchorline.llm.frames import map_arrow
+from anchorline.llm.kernels import RangeHash, WordTokens, mix, ranges, slices_of, text_bounds
 from anchorline.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -93,7 +94,7 @@ def set_keys(elements: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds = joined_bytes(batch.column(1))[1]
+            bounds = text_bounds(batch.column(1))
             for a, b in slices_of(bounds, SLICE_BYTES):
                 elements, upto = shingle_sets(batch.column(1).slice(a, b - a), words)
                 one, two = set_keys(elements, upto)
@@ -105,20 +106,20 @@ def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
                     }
                 )
 
-    return docs.mapInArrow(sketch, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
+    return map_arrow(docs, sketch, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
 
 
 def shingle_arrays(docs: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds = joined_bytes(batch.column(1))[1]
+            bounds = text_bounds(batch.column(1))
             for a, b in slices_of(bounds, SLICE_BYTES):
                 elements, upto = shingle_sets(batch.column(1).slice(a, b - a), words)
                 yield pa.RecordBatch.from_pydict(
                     {"id": batch.column(0).slice(a, b - a), "items": pa.ListArray.from_arrays(pa.array(upto, pa.int32()), elements.view(np.int64))}
                 )
 
-    return docs.mapInArrow(sets, "id long, items array<long>")
+    return map_arrow(docs, sets, "id long, items array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,7 +153,7 @@ def prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"slot": slot, "n": total[slot]})
 
-    found = own.select("items").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
+    found = map_arrow(own.select("items"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(slots, np.int64)
     frequency[[r[0] for r in found]] = [r[1] for r in found]
 
@@ -171,7 +172,7 @@ def prefix_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                  "n": size[row].astype(np.int64), "rest": (size[row] - place).astype(np.int64)}
             )
 
-    kept = own.mapInArrow(prefixes, "item long, id long, component long, n long, rest long")
+    kept = map_arrow(own, prefixes, "item long, id long, component long, n long, rest long")
     mixed = kept.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     x = kept.join(mixed.select("item"), "item")
     y = x.select("item", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "rest")])

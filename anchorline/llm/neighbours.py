@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from anchorline.llm.frames import parts
+from anchorline.llm.frames import map_arrow, parts
 from anchorline.llm.samples import MANY
 from anchorline.session import scratch_path
 
@@ -148,7 +148,7 @@ def true_neighbours(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k:
                 q, c, score = best_of(ids, queries, own, matrix(part.column(1)), k)
                 yield pa.RecordBatch.from_pydict({"query_id": ids[q], "vec_id": own[c], "score": score})
 
-    found = vectors.mapInArrow(search, "query_id long, vec_id long, score double")
+    found = map_arrow(vectors, search, "query_id long, vec_id long, score double")
     return [(r[0], r[1]) for r in _top(found, k).select("query_id", "vec_id").collect()]
 
 
@@ -172,7 +172,7 @@ def ranked_orders(vectors: DataFrame, curves: Curves, count: int, is_query: Colu
                     )
 
     kind = dict(vectors.dtypes)["vector"]
-    keyed = vectors.mapInArrow(number, f"curve int, key long, vec_id long, vector {kind}")
+    keyed = map_arrow(vectors, number, f"curve int, key long, vec_id long, vector {kind}")
     spark, path = vectors.sparkSession, scratch_path(vectors.sparkSession, "curves")
     order = ["curve", "key", "vec_id"]
     sorted_rows = keyed.repartitionByRange(parts(count * CURVES, 4 * BLOCK), *order).sortWithinPartitions(*order)

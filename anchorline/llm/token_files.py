@@ -31,8 +31,8 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from anchorline.llm.frames import parts, total_bytes
-from anchorline.llm.kernels import joined_bytes, ranges, slices_of
+from anchorline.llm.frames import map_arrow, parts, total_bytes
+from anchorline.llm.kernels import joined_bytes, ranges, slices_of, text_bounds
 from anchorline.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -247,7 +247,7 @@ def write_token_files(
         for batch in batches:
             texts = batch.column(1)
             ids = batch.column(0).to_pylist()
-            for a, b in slices_of(joined_bytes(texts)[1], SLICE_BYTES):
+            for a, b in slices_of(text_bounds(texts), SLICE_BYTES):
                 if out is None:
                     fs.create_dir(at)
                     out = TokenFileWriter(fs.open_output_stream(own), width)
@@ -263,7 +263,7 @@ def write_token_files(
                  "documents": [len(out.documents)], "tokens": [out.tokens]}
             )
 
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, FILE_SCHEMA).collect())
+    return sorted(tuple(r) for r in map_arrow(dealt, write, FILE_SCHEMA).collect())
 
 
 def read_token_files(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
@@ -295,7 +295,7 @@ def read_token_files(spark, files: list[tuple[int, str, int, int]]) -> DataFrame
                     )
 
     index = spark.createDataFrame(starts, "part int, path string, first long").repartitionByRange(len(starts), "part")
-    return index.mapInArrow(read, TOKEN_SCHEMA)
+    return map_arrow(index, read, TOKEN_SCHEMA)
 
 
 def token_files(docs: DataFrame, tokenizer: str, folder: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from anchorline.llm.frames import map_arrow
 from anchorline.llm.kernels import (
     CHUNK, RangeHash, byte_codes, joined_bytes, lower_bytes, powers, ranges, slices_of, word_bounds,
 )
@@ -215,7 +216,7 @@ def fit_toxicity(
                     texts.append(data[bounds[i] : bounds[i + 1]].tobytes())
             yield pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary()), "toxic": batch.column(1)})
 
-    found = {bytes(r[0]): r[1] for r in rows.select("__text", "__toxic").mapInArrow(cut, "text binary, toxic int").collect()}
+    found = {bytes(r[0]): r[1] for r in map_arrow(rows.select("__text", "__toxic"), cut, "text binary, toxic int").collect()}
     texts = sorted(t for t in found if t)
     toxic_flag = np.array([found[t] > 0 for t in texts], bool)
     if toxic_flag.all() or not toxic_flag.any():
@@ -263,4 +264,4 @@ def tag_documents(docs: DataFrame, field: Field | None, doc_id: str = "doc_id",
                 }
             )
 
-    return rows.mapInArrow(tag, f"doc_id {kind}, score double, predicted int, spans array<struct<start:long,end:long>>")
+    return map_arrow(rows, tag, f"doc_id {kind}, score double, predicted int, spans array<struct<start:long,end:long>>")
