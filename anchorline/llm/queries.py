@@ -17,7 +17,7 @@ from anchorline.session import cut_lineage
 
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = rlz_dedup.remove_repeated_words(table(spark, sf_dir, "documents"), with_kept=False)
-    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +90,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_histogram_shards": op10_histogram_shards,
 }
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex({text}, '[\x09-\x0D\x20]+'), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "op1_rlz_dedup": f"""WITH split AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS ws FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS run
+          FROM split, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+        holders AS (SELECT run, min(doc_id) AS holder FROM windows GROUP BY run),
+        gone AS (SELECT DISTINCT doc_id, i + step AS place FROM windows JOIN holders USING (run), range(50) AS r(step)
+          WHERE holder < doc_id),
+        placed AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM split),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS words FROM placed ANTI JOIN gone USING (doc_id, place)
+          GROUP BY doc_id),
+        counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT s.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(words, '')) AS kept_sha256
+        FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id LEFT JOIN counts c ON c.doc_id = s.doc_id""",
+    "op9_near_duplicates": f"""WITH RECURSIVE split AS (SELECT doc_id,
+          coalesce({_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}, []) AS ws
+          FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS run
+          FROM split, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b
+          ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+          WHERE 100 * common >= 75 * (x.n + y.n - common)),
+        near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT r.doc_id, near.b FROM reach r JOIN near ON near.a = r.other)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+        LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+}
