@@ -11,8 +11,10 @@ def bounded_sample(rows: DataFrame, group: str, identity: list[str], each: int)
     """At most ``each`` rows per value of ``group``, picked by a hash of ``identity``.
 
     The counts per value are read first, and a hash filter leaves about twice the wanted number before rows are
-    ranked, so no task ranks a whole group. ``group`` has no nulls and few values (classes), as a classifier needs.
+    ranked, so no task ranks a whole group. ``group`` has few values (classes), as a classifier needs; rows
+    without one are left out.
     """
+    rows = rows.where(F.col(group).isNotNull())
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return rows.limit(0)
