@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEQUENCE, PREFIXES, SLOTS = 64, (4, 5, 6), 1 << 18
 TEXTS_PER_LABEL = 2000  # bound of the training sample
 SEQUENCES_PER_TEXT = 64  # of a training text, evenly spread
-CLEAN_SEQUENCES = 12_000
+CLEAN_SEQUENCES = 12_000  # bound of the sequences without a toxic token that the field learns from, drawn at random
 ODDS, HOLDERS, HOLDER_SHARE = 20.0, 3, 0.01  # a token counts as toxic from these odds and this many toxic texts on
 SLICE_BYTES = 2 << 20
 
@@ -193,10 +193,16 @@ def fit_toxicity(
     Rows without id, label or text are left out; if an id is labelled twice, the larger label holds; equal texts count
     once. The sampled ids are few by that bound and are broadcast, so texts of other documents do not move. None if one
     of the labels is missing.
+
+    The bound takes a smaller share of the larger label, so the document curve is moved back to the shares of the labels
+    among all labelled ids. Marginals are not: where CLEAN_SEQUENCES leaves sequences out, toxic tokens are rarer in the
+    corpus than the field has seen, and more words pass a half; the curve is fitted on these same marginals.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(
         F.max(F.col(toxic).cast("int")).alias("__toxic")
     )
+    known = known.select("__id", (F.col("__toxic") > 0).cast("int").alias("__toxic"))
+    labelled = dict(known.groupBy("__toxic").count().collect())
     picked = bounded_sample(known, "__toxic", ["__id"], texts_each)
     rows = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(
         F.broadcast(picked), F.col("__doc") == F.col("__id")
@@ -224,7 +230,11 @@ def fit_toxicity(
     data = lower_bytes(np.frombuffer(b"".join(texts), np.uint8))
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     starts, ends, upto = word_bounds(data, bounds)
-    return fit_field(word_features(data, starts, ends), upto, toxic_flag)
+    field = fit_field(word_features(data, starts, ends), upto, toxic_flag)
+    # the part of each label's ids that the sample took
+    clean_part, toxic_part = (min(1.0, texts_each / labelled[k]) for k in (0, 1))
+    field.curve[0] += np.log(clean_part / toxic_part)
+    return field
 
 
 def tag_documents(docs: DataFrame, field: Field | None, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

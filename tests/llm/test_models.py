@@ -71,6 +71,21 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert toxicity.tag_documents(no_docs, field).collect() == []
 
 
+def test_toxicity_scores_do_not_follow_the_sample(spark):
+    """A tenth is toxic, and most toxic texts show it in no word: texts without such a word are clean, in any sample."""
+    rows = [(i, int(i % 10 == 0), f"some words number{i} {'awful' if i % 50 == 0 else 'plain'} and so on") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, toxic int, text string")
+    train, held_out = frame.where("doc_id < 1500"), frame.where("doc_id >= 1500")
+    means = []
+    for texts_each in (100, 2000):  # below and above the 150 and 1,350 labelled texts
+        field = toxicity.fit_toxicity(train.select("doc_id", "text"), train.select("doc_id", "toxic"), texts_each=texts_each)
+        found = toxicity.tag_documents(held_out, field).join(held_out.select("doc_id", "toxic"), "doc_id").toPandas()
+        assert found[found.toxic == 0].predicted.mean() < 0.03
+        assert found[found.doc_id % 50 == 0].predicted.all()
+        means.append(found[found.toxic == 0].score.mean())
+    assert abs(means[0] - means[1]) < 0.05
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(3)
     field = toxicity.Field(np.zeros(toxicity.SLOTS + 1), 0.0, rng.normal(size=(2, 2)), np.zeros(3))
