@@ -15,7 +15,7 @@ KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.1}
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised."""
+    """Documents in one of the labelled languages: other languages, noise and texts without letters go."""
     return language.keep_known(docs, language.fit_language(docs.where(~crc_held_out())))
 
 

@@ -17,6 +17,24 @@ def test_language_held_out(spark):
     assert language.keep_known(docs, model).count() == 1000
 
 
+def test_unlearned_languages_and_noise_go(spark):
+    docs, rng = table(spark, SF, "documents"), np.random.default_rng(4)
+    drawn = lambda units, n, gap="": gap.join(rng.choice(list(units), n))
+    polish = "w każdym razie nie mogę powiedzieć że jest to zupełnie nowa książka ponieważ została już wydana".split()
+    finnish = "mutta kun hän tuli kotiin niin kaikki olivat jo lähteneet eikä kukaan tiennyt minne he menivät".split()
+    russian = "сегодня утром мы пошли на рынок чтобы купить свежие овощи и хлеб для нашей семьи".split()
+    planted = [drawn(words, 200, " ") for words in (polish, finnish, russian)]
+    planted += [drawn("今天天气很好我们去公园散步然后吃饭回家看书", 500), drawn("abcdefghijklmnopqrstuvwxyz", 2000)]
+    planted += [drawn("0123456789 ", 3000) + "a", drawn("#$%&*+=<>@^~|", 3000) + " z", "12 34"]
+    learned = ["A.", "Von.", docs.where("doc_id = 2").first()["text"]]
+    rows = spark.createDataFrame([(t,) for pair in zip(planted, learned * 3) for t in pair] + [(None,), ("",)], "text string")
+    model = language.fit_language(docs.where(~crc_held_out()))
+    kept = [r["text"] for r in language.keep_known(rows.coalesce(1), model).collect()]
+    assert sorted(kept) == sorted((learned * 3)[: len(planted)])
+    held_out = docs.where(crc_held_out())
+    assert language.keep_known(held_out, model).count() == held_out.count()
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     rows = [(1, "der die das und ist " * 30, "de"), (2, "the and of is that " * 30, "en"), (3, None, "en"), (4, "x", None), (5, "", "de")]
     model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
