@@ -136,12 +136,9 @@ def _scaled(spark, sf_dir):
     return scaling.standard_scale(fixed_matrix(spark, sf_dir).select(ID, *FEATURES), FEATURES)
 
 
-AVERAGES = [c for c in FEATURES if c.endswith(("_avg", "_max"))]
-
-
 @query("impute_forest")
 def impute_forest(spark, sf_dir):
-    return impute.impute_forest(_scaled(spark, sf_dir).select(ID, *FEATURES), FEATURES, max_rounds=2, trees=10, max_depth=8)
+    return impute.impute_forest(_scaled(spark, sf_dir).select(ID, *FEATURES), FEATURES, max_rounds=3, trees=10, max_depth=8)
 
 
 @query("impute_chained")
@@ -154,7 +151,7 @@ def impute_em(spark, sf_dir):
     return impute.impute_em(_scaled(spark, sf_dir), FEATURES)
 
 
-def imputers(rounds: int = 1, trees: int = 5, depth: int = 5) -> dict:
+def imputers(rounds: int = 2, trees: int = 10, depth: int = 5) -> dict:
     return {
         "mean": impute.impute_mean,
         "median": impute.impute_median,
@@ -170,9 +167,9 @@ HIDDEN = [0.1, 0.1663, 0.2, 0.3, 0.35, 0.4]  # fixed values: hidden shares of th
 
 @query("impute_compare")
 def impute_compare(spark, sf_dir):
-    """All six imputers on the unscaled averages and maxima, as the published comparison has it."""
-    rows = fixed_matrix(spark, sf_dir).select(ID, *AVERAGES)
-    return impute.impute_compare(rows, ID, AVERAGES, imputers(), HIDDEN)
+    """All six imputers on all unscaled columns."""
+    rows = fixed_matrix(spark, sf_dir).select(ID, *FEATURES)
+    return impute.impute_compare(rows, ID, FEATURES, imputers(), HIDDEN)
 
 
 PROFILE = ["mean", "sd", "minimum", "maximum", "q1", "median", "q3"]

@@ -97,3 +97,20 @@ def test_compare_scores_hidden_cells_only(spark):
     expected = 1 - ((truth[hidden] - guess) ** 2).sum() / ((truth[hidden] - truth[hidden].mean()) ** 2).sum()
     assert out["mean"] == pytest.approx(expected) and out["chained"] > out["mean"]
     assert masked.where(F.col("a").isNotNull() & F.col("__true_a").isNotNull()).count() == 0
+
+
+def test_queries_impute_all_columns(monkeypatch):
+    from anchorline.catalogue import preparation
+
+    seen = {}
+    frame = type("Frame", (), {"select": lambda self, *columns: self})()
+    monkeypatch.setattr(preparation, "fixed_matrix", lambda *a: frame)
+    monkeypatch.setattr(preparation, "_scaled", lambda *a: frame)
+    monkeypatch.setattr(preparation.impute, "impute_compare", lambda df, key, columns, methods, hidden: seen.update(compared=columns))
+    monkeypatch.setattr(preparation.impute, "impute_forest", lambda df, columns, **kw: seen.setdefault("forests", []).append(kw))
+    preparation.impute_compare(None, "")
+    preparation.impute_forest(None, "")
+    preparation.imputers()["forest"](None, [])
+    assert seen["compared"] == preparation.FEATURES and len(preparation.FEATURES) == 24
+    alone, compared = seen["forests"]
+    assert alone["max_rounds"] >= 3 and compared["max_rounds"] >= 2 and compared["trees"] >= 10
