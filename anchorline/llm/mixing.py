@@ -10,22 +10,24 @@
    probabilities, and a rate is a function of the document's own probabilities and the steps so far.
 
 Everything runs as DataFrame expressions. The sampled ids are broadcast, so no text is shuffled. What reaches the driver
-has a size set by the number of domains, SLOTS and SAMPLE_EACH.
+has a size set by the number of domains, SLOTS, EVIDENCE and SAMPLE_EACH.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from anchorline.llm.samples import bounded_sample
 from anchorline.session import cut_lineage
 
 SLOTS = 1 << 16
 SAMPLE_EACH = 15_000
+EVIDENCE = 1024  # slots that may speak for a domain
 STRONG, HOLDERS = 8.0, 5  # odds and documents of the domain from which on a slot is evidence
 NOT_A_WORD = r"[^\p{L}\p{N}]+"
 
@@ -52,43 +54,48 @@ def _share(text: Column, pattern_chars: str) -> Column:
     return F.when(F.length(text) > 0, 1 - left / F.length(text)).otherwise(0.0)
 
 
-def word_odds(labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """One row with an array of SLOTS weights per domain: the log odds of slots that speak for it, else 0.
+def word_odds(labelled: DataFrame, domains: list[str], most: int = EVIDENCE) -> list[dict[int, float]]:
+    """Per domain the log odds of the slots that speak for it; at most ``most`` of them, the strongest first.
 
     ``labelled`` has ``text`` and ``domain``. Counts are combined on the map side; their number is bounded by SLOTS.
     """
     each = labelled.select("domain", F.explode(_slots(_words(F.col("text")))).alias("slot"))
     held = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n{k}") for k, d in enumerate(domains)]
-    slots = each.groupBy("slot").agg(*held)
     totals = labelled.agg(*held).first()
-    every = labelled.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    total = sum(totals)
-    count = [F.coalesce(f"n{k}", F.lit(0)) for k in range(len(domains))]
-    out = []
+    total, count = sum(totals), [F.col(f"n{k}") for k in range(len(domains))]
+    weights = []
     for k in range(len(domains)):
         rest = reduce(lambda x, y: x + y, count) - count[k]
         odds = ((count[k] + 0.5) / (totals[k] + 1)) / ((rest + 0.5) / (total - totals[k] + 1))
-        weight = F.when((odds >= STRONG) & (count[k] >= HOLDERS), F.log(odds)).otherwise(0.0)
-        pairs = F.sort_array(F.collect_list(F.struct("slot", weight.alias("w"))))
-        out.append(F.transform(pairs, lambda x: x["w"]).alias(f"w{k}"))
-    return every.agg(*out)
+        weights.append(F.when((odds >= STRONG) & (count[k] >= HOLDERS), F.log(odds)).alias(f"w{k}"))
+    found = each.groupBy("slot").agg(*held).select("slot", *weights).where(F.coalesce(*[f"w{k}" for k in range(len(domains))]).isNotNull())
+    rows = found.collect()
+    strongest = [sorted(((r[f"w{k}"], r["slot"]) for r in rows if r[f"w{k}"]), key=lambda x: (-x[0], x[1])) for k in range(len(domains))]
+    return [{slot: weight for weight, slot in sorted(kept[:most], key=lambda x: x[1])} for kept in strongest]
 
 
-def _summed(weights: list[float]) -> Column:
-    """Sum of the weights of a row's slots. The weights are one folded literal."""
-    table = F.split(F.lit(",".join(f"{w:.4g}" for w in weights)), ",").cast("array<double>")
-    return F.aggregate("__slots", F.lit(0.0), lambda total, slot: total + F.get(table, slot))
+def _summed(hits: str, weights: dict[int, float]) -> Column:
+    """Sum of the weights of a row's strong slots. The weights are one short folded literal."""
+    if not weights:
+        return F.lit(0.0)
+    table = F.str_to_map(F.lit(",".join(f"{slot}:{w:.4g}" for slot, w in weights.items())), F.lit(","), F.lit(":"))
+    held = F.transform(hits, lambda slot: F.coalesce(F.element_at(table.cast("map<int,double>"), slot), F.lit(0.0)))
+    return F.aggregate(held, F.lit(0.0), lambda total, w: total + w)
 
 
-def with_inputs(docs: DataFrame, odds: Row) -> DataFrame:
+def with_inputs(docs: DataFrame, odds: list[dict[int, float]]) -> DataFrame:
     """Add ``x``, the inputs of the classifier, and ``n``, the number of words, to rows with ``text``. Narrow.
 
-    The odds are SLOTS numbers per domain, whatever the size of the corpus; they pass through the driver.
+    The odds are at most EVIDENCE numbers per domain, whatever the size of the corpus; they pass through the driver. A
+    row's slots are first met with the strong ones, so weights are looked up for the few that count.
     """
     text = F.coalesce("text", F.lit(""))
-    evidence = [F.log1p(_summed(w)) for w in odds]
+    strong = sorted({slot for w in odds for slot in w})
+    spoken = F.split(F.lit(",".join(map(str, strong))), ",").cast("array<int>") if strong else F.array().cast("array<int>")
     symbols, capitals = _share(text, "$%&*#|@^~_=+<>\\"), _share(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    worded = docs.withColumn("__words", _words(F.col("text"))).withColumn("__slots", _slots(F.col("__words")))
+    worded = docs.withColumn("__words", _words(F.col("text")))
+    worded = worded.withColumn("__hits", F.array_intersect(_slots(F.col("__words")), spoken))
+    evidence = [F.log1p(_summed("__hits", w)) for w in odds]
     inputs = F.array(F.lit(1.0), *evidence, F.sqrt(symbols), F.sqrt(capitals))
     return worded.select(*docs.columns, inputs.alias("x"), F.size("__words").cast("long").alias("n"))
 
@@ -118,12 +125,18 @@ def posteriors(rows: DataFrame, curves: np.ndarray) -> Column:
     return F.array(*[e / total for e in each])
 
 
-def _moved(rate: Column, p: Column, step) -> Column:
-    return F.greatest(F.lit(0.0), rate - _dot(p, step))
+def _rate(p: Column, steps: list[np.ndarray]) -> Column:
+    """Rate of a row after the steps: each takes its product with ``p`` off, and no rate falls below 0.
+
+    The steps are one array literal, so that a further step changes a value and not the generated code.
+    """
+    taken = F.lit([[float(v) for v in s] for s in steps]) if steps else F.array().cast("array<array<double>>")
+    product = lambda step: F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+    return F.aggregate(taken, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - product(step)))
 
 
 def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int = 25, tolerance: float = 1e-5) -> list[np.ndarray]:
-    """Steps of the projected gradient for rows with ``n`` and ``p``; see ``_moved`` for how a step moves a rate.
+    """Steps of the projected gradient for rows with ``n`` and ``p``; see ``_rate`` for how a step moves a rate.
 
     The gradient is scaled by the inverse of sum n p p' over the documents whose rate is not 0; a step that does not
     bring the totals nearer is halved. One aggregate a round gives the totals and these sums.
@@ -134,9 +147,8 @@ def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int =
     best, whole = np.inf, max(wanted.sum(), 1.0)
     upper = np.triu_indices(domains)
     for _ in range(rounds):
-        rate = reduce(lambda r, s: _moved(r, p, s), steps, F.lit(1.0))
         own = F.when(F.col("__rate") > 0, n).otherwise(0.0)
-        got = rows.withColumn("__rate", rate).agg(
+        got = rows.withColumn("__rate", _rate(p, steps)).agg(
             *[F.sum(n * F.get(p, k) * F.col("__rate")).alias(f"t{k}") for k in range(domains)],
             *[F.sum(own * F.get(p, int(i)) * F.get(p, int(j))).alias(f"g{i}_{j}") for i, j in zip(*upper, strict=True)],
         ).first()
@@ -155,6 +167,8 @@ def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int =
                 break
         else:
             steps[-1] = steps[-1] / 2
+    else:
+        warnings.warn(f"rates stopped after {rounds} rounds, {gap:.1e} of all tokens from their targets", stacklevel=2)
     return steps
 
 
@@ -163,15 +177,14 @@ class Mixture:
     """What a fitted mixture needs to rate further rows."""
 
     domains: list[str]
-    odds: Row
+    odds: list[dict[int, float]]
     curves: np.ndarray
     steps: list[np.ndarray]
 
     def rated(self, rows: DataFrame) -> DataFrame:
         """Add ``domain`` and ``rate`` to rows with ``n`` and ``p``."""
-        rate = reduce(lambda r, s: _moved(r, F.col("p"), s), self.steps, F.lit(1.0))
         best = F.array_position("p", F.array_max("p")).cast("int")
-        return rows.select("*", F.element_at(F.array(*map(F.lit, self.domains)), best).alias("domain"), rate.alias("rate"))
+        return rows.select("*", F.element_at(F.array(*map(F.lit, self.domains)), best).alias("domain"), _rate(F.col("p"), self.steps).alias("rate"))
 
     def drawn(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``docs``, each as often as its rate says: its whole part, and once more with the odds of the
@@ -198,7 +211,7 @@ def fit_mixture(
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     known = labels.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("doc_id"), "domain").where("doc_id IS NOT NULL")
     picked = F.broadcast(bounded_sample(known, "domain", ["doc_id"], sample_each))
-    odds = word_odds(rows.join(picked, "doc_id").select("text", "domain"), domains).first()
+    odds = word_odds(rows.join(picked, "doc_id").select("text", "domain"), domains)
     seen = cut_lineage(with_inputs(rows, odds).drop("text"))
     sample = seen.join(picked, "doc_id").select("x", "domain").collect()
     x = np.array([r["x"] for r in sample], float).reshape(len(sample), 3 + len(domains))
