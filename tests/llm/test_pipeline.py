@@ -79,6 +79,6 @@ def test_run_and_registration(spark):
     import __spark_entry__ as entry
 
     numbers = {name.split("_")[0] for name in queries.QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert numbers == {f"op{n}" for n in range(1, 14)} and set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert corpus_pipeline.run(spark, SF).count() > 0
