@@ -71,7 +71,7 @@ def fit_mlp(spark, sf_dir):
 
 @query("select_forward")
 def select_forward(spark, sf_dir):
-    chosen = models.select_forward(frame(spark, sf_dir), FEATURES, n_select=3)
+    chosen = models.select_forward(frame(spark, sf_dir), FEATURES)
     rows = [(c["step"], c["feature"], float(c["score"])) for c in chosen]
     return spark.createDataFrame(rows, "step int, feature string, score double")
 

@@ -138,7 +138,8 @@ def _scaled(spark, sf_dir):
 
 @query("impute_forest")
 def impute_forest(spark, sf_dir):
-    return impute.impute_forest(_scaled(spark, sf_dir).select(ID, *FEATURES), FEATURES, max_rounds=3, trees=10, max_depth=8)
+    """Ten rounds at most, 100 trees a column, depth 30."""
+    return impute.impute_forest(_scaled(spark, sf_dir).select(ID, *FEATURES), FEATURES)
 
 
 @query("impute_chained")
@@ -151,12 +152,12 @@ def impute_em(spark, sf_dir):
     return impute.impute_em(_scaled(spark, sf_dir), FEATURES)
 
 
-def imputers(rounds: int = 2, trees: int = 10, depth: int = 5) -> dict:
+def imputers(**forest) -> dict:
     return {
         "mean": impute.impute_mean,
         "median": impute.impute_median,
-        "knn": lambda df, columns: impute.impute_knn(df, ID, columns),
-        "forest": lambda df, columns: impute.impute_forest(df, columns, max_rounds=rounds, trees=trees, max_depth=depth),
+        "knn": lambda df, columns, by: impute.impute_knn(df, ID, columns, by=by),
+        "forest": lambda df, columns, by: impute.impute_forest(df, columns, by=by, **forest),
         "em": impute.impute_em,
         "chained": impute.impute_chained,
     }
@@ -167,9 +168,29 @@ HIDDEN = [0.1, 0.1663, 0.2, 0.3, 0.35, 0.4]  # fixed values: hidden shares of th
 
 @query("impute_compare")
 def impute_compare(spark, sf_dir):
-    """All six imputers on all unscaled columns."""
+    """All six imputers on all unscaled columns and all hidden shares; forests of 10 trees."""
     rows = fixed_matrix(spark, sf_dir).select(ID, *FEATURES)
-    return impute.impute_compare(rows, ID, FEATURES, imputers(), HIDDEN)
+    return impute.impute_compare(rows, ID, FEATURES, imputers(trees=10), HIDDEN)
+
+
+@query(
+    "impute_compare_constants",
+    f"""WITH versions AS (SELECT fraction, column_name, value,
+          CAST('0x' || substr(md5(concat(micro_specimen_id, column_name, '42')), 1, 8) AS BIGINT) / 4294967296.0 < fraction AS gone
+          FROM melted, (SELECT unnest([{', '.join(f'{h}::DOUBLE' for h in HIDDEN)}]) AS fraction)),
+        centres AS (SELECT fraction, column_name, avg(value) AS mean, quantile_cont(value, 0.5) AS median
+          FROM versions WHERE NOT gone GROUP BY 1, 2),
+        guesses AS (SELECT m.method, v.fraction, value, CASE method WHEN 'mean' THEN mean ELSE median END AS guess
+          FROM versions v JOIN centres c ON c.fraction = v.fraction AND c.column_name = v.column_name,
+          (SELECT unnest(['mean', 'median']) AS method) m WHERE gone AND value IS NOT NULL)
+        SELECT method, fraction, round(1 - sum(power(value - guess, 2)) / (var_pop(value) * count(value)), 6) + 0.0 AS r2
+        FROM guesses GROUP BY 1, 2""",
+)
+def impute_compare_constants(spark, sf_dir):
+    """The comparison of the imputers that SQL can express."""
+    rows = fixed_matrix(spark, sf_dir).select(ID, *FEATURES)
+    methods = {name: imputers()[name] for name in ("mean", "median")}
+    return rounded(impute.impute_compare(rows, ID, FEATURES, methods, HIDDEN), ["r2"])
 
 
 PROFILE = ["mean", "sd", "minimum", "maximum", "q1", "median", "q3"]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import sys
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -24,8 +27,12 @@ from pyspark.util import inheritable_thread_target
 
 from anchorline.functions.metrics import METRICS, score_table, scores_long
 from anchorline.operators.labels import stratified_folds
+from anchorline.operators.trees import coded, edges_of, grow
 from anchorline.session import cut_lineage
 
+# executors need no copy of this package: what runs in tasks is sent along
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: search grids
 BOOSTED_GRID = {"maxDepth": [6, 9, 12], "positiveWeight": [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4]}
 BOOSTED_2_GRID = {"maxDepth": [6, 9, 12], "positiveWeight": [0.1, 0.15, 0.2, 0.25, 0.3]}
@@ -237,41 +244,59 @@ def cross_validate(
     return scores_long(score_table(scored, ["fold"]), ["fold"], METRICS)
 
 
+SELECT_ROWS = 20_000  # rows that the trees of a forward selection are fitted and judged on
+
+
 def select_forward(
     df: DataFrame,
     features: Sequence[str],
     n_select: int = SELECTED_FEATURES,
     k: int = 5,
     max_depth: int = 30,
-    parallelism: int = 8,
     seed: int = 1,
+    fit_rows: int = SELECT_ROWS,
 ) -> list[dict[str, object]]:
     """Add, one at a time, the feature that gives a decision tree the best mean fold accuracy.
 
-    The first listed feature wins ties. All trials of a step share one cached frame and run side by side.
+    The first listed feature wins ties. All trials of a step, a tree per candidate and fold, are grown side by side in
+    tasks. They see the same rows: all, or the ``fit_rows`` with the least hash of the row and ``seed``, which go to the
+    tasks once, in at most 255 steps a column. Every row needs all features.
     """
-    data = df.select(*features, "label", "fold").persist()
-    evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    tree = DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=max_depth, seed=seed)
-
-    def trial(names: list[str], fold: int) -> Callable[[], float]:
-        def run() -> float:
-            rows = assemble(names).transform(data.select(*names, "label", "fold"))
-            model = tree.fit(rows.where(F.col("fold") != fold))
-            return evaluator.evaluate(model.transform(rows.where(F.col("fold") == fold)))
-
-        return run
+    spark = df.sparkSession
+    draw = F.xxhash64(*features, "label", F.lit(seed))
+    rows = df.select(*features, "label", "fold").orderBy(draw, *features).limit(fit_rows).toPandas()
+    values = rows[list(features)].to_numpy(dtype=float)
+    codes = np.column_stack([coded(values[:, j], edges_of(values[:, j])) for j in range(values.shape[1])])
+    classes, label = np.unique(rows["label"].to_numpy(), return_inverse=True)
+    held = spark.sparkContext.broadcast((codes, label, np.eye(len(classes))[label], rows["fold"].to_numpy()))
+
+    def trials(wanted: list[tuple[int, int, list[int]]]) -> Callable:
+        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            all_codes, truth, flags, folds = held.value
+            for batch in batches:
+                for candidate, fold, columns in (wanted[i] for i in batch["id"]):
+                    some, test = all_codes[:, columns], folds == fold
+                    if not test.all() and test.any():
+                        tree = grow(some[~test], flags[~test], np.ones(int((~test).sum())), max_depth)
+                        right = np.argmax(tree.predict(some[test]), axis=1) == truth[test]
+                        yield pd.DataFrame({"candidate": [candidate], "score": [float(right.mean())]})
+
+        return go
 
     chosen: list[dict[str, object]] = []
+    taken: list[int] = []
     for step in range(min(n_select, len(features))):
-        taken = [c["feature"] for c in chosen]
-        left = [f for f in features if f not in taken]
-        jobs = [trial([*taken, f], fold) for f in left for fold in range(k)]
-        values = in_threads(df.sparkSession, jobs, parallelism)
-        means = [sum(values[i * k : (i + 1) * k]) / k for i in range(len(left))]
-        best = max(range(len(left)), key=lambda i: (means[i], -i))
-        chosen.append({"step": step + 1, "feature": left[best], "score": means[best]})
-    data.unpersist()
+        left = [j for j in range(len(features)) if j not in taken]
+        wanted = [(j, fold, [*taken, j]) for j in left for fold in range(k)]
+        slices = min(len(wanted), 2 * spark.sparkContext.defaultParallelism)
+        found = spark.range(0, len(wanted), 1, slices).mapInPandas(trials(wanted), "candidate int, score double").collect()
+        means: dict[int, float] = {}
+        for r in sorted(found):
+            means[r["candidate"]] = means.get(r["candidate"], 0.0) + r["score"] / k
+        best = max(left, key=lambda j: (means.get(j, 0.0), -j))
+        taken.append(best)
+        chosen.append({"step": step + 1, "feature": features[best], "score": means.get(best, 0.0)})
+    held.destroy()
     return chosen
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from anchorline.functions.ordered import quantiles_of_counts, value_counts
+from anchorline.functions.ordered import exact_quantiles
 from anchorline.session import stored_small
 
 # fixed values: upper quantile left out of the vitals moments, sentinel of labs, rejection distance
@@ -36,7 +36,7 @@ def reject_outliers(
     if sentinel is not None:
         reference = reference.where(F.col(value) != sentinel)
     if quantile is not None:
-        limits = quantiles_of_counts(value_counts(long, by, value), by, {"__limit": quantile})
+        limits = exact_quantiles(long, by, value, {"__limit": quantile})
         reference = reference.join(stored_small(limits), by).where(F.col(value) < F.col("__limit"))
     moments = reference.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     distance = F.abs(F.try_divide(F.col(value) - F.col("mean"), F.col("sd")))
@@ -51,8 +51,11 @@ def reject_labs_outliers(long: DataFrame, **options) -> DataFrame:
     return reject_outliers(long, sentinel=LABS_SENTINEL, **options)
 
 
-def melt(df: DataFrame, columns: Sequence[str], name: str = "column_name", value: str = "value") -> DataFrame:
-    return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), name, value)
+def melt(
+    df: DataFrame, columns: Sequence[str], name: str = "column_name", value: str = "value", keep: Sequence[str] = ()
+) -> DataFrame:
+    long = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    return long.unpivot(list(keep), list(columns), name, value)
 
 
 def _per_column(df: DataFrame, columns: Sequence[str], measures: Mapping[str, object]) -> DataFrame:
@@ -108,8 +111,7 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "maximum": lambda c: F.max(c),
         },
     )
-    counts = value_counts(melt(df, columns), ["column_name"], "value")
-    quartiles = quantiles_of_counts(counts, ["column_name"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = exact_quantiles(melt(df, columns), ["column_name"], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return basics.join(quartiles, "column_name", "left")
 
 
@@ -139,8 +141,7 @@ def anomaly_bounds(df: DataFrame, columns: Sequence[str], rule: str = "z", k: fl
         moments = _per_column(df, columns, {"mean": lambda c: F.avg(c), "sd": lambda c: F.stddev_samp(c)})
         reach = F.lit(k) * F.col("sd")
         return moments.select("column_name", (F.col("mean") - reach).alias("low"), (F.col("mean") + reach).alias("high"))
-    counts = value_counts(melt(df, columns), ["column_name"], "value")
-    quartiles = quantiles_of_counts(counts, ["column_name"], {"q1": 0.25, "q3": 0.75})
+    quartiles = exact_quantiles(melt(df, columns), ["column_name"], "value", {"q1": 0.25, "q3": 0.75})
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     return quartiles.select("column_name", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 

@@ -153,7 +153,7 @@ def run_model_suite(
     selected = [
         c["feature"]
         for c in models.select_forward(
-            frame, list(suite.select_from or features), suite.n_select, suite.folds, suite.select_depth, suite.parallelism
+            frame, list(suite.select_from or features), suite.n_select, suite.folds, suite.select_depth
         )
     ]
     parts: list[DataFrame] = []

@@ -1,11 +1,16 @@
 """Imputers on small matrices: exact answers where they are defined, invariants elsewhere."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from anchorline.catalogue import preparation
 from anchorline.operators import impute
+from anchorline.operators.impute import chained, grouped, knn
 from anchorline.operators.impute.compare import hide_cells
+from anchorline.operators.impute.grouped import GROUP
+from anchorline.session import cut_lineage
 
 COLUMNS = ["a", "b", "c", "d"]
 
@@ -43,14 +48,73 @@ def brute_knn(x, k):
     return out
 
 
-@pytest.mark.parametrize("part_rows,probe", [(4096, 2), (8, 1), (8, 3)])
-def test_knn_is_exact_in_many_leaves_and_with_copies(spark, part_rows, probe):
+@pytest.mark.parametrize("leaf_rows,part_rows,probe", [(256, 4096, 4), (8, 4, 1), (8, 16, 3)])
+def test_knn_is_exact_in_many_leaves_and_with_copies(spark, leaf_rows, part_rows, probe):
     x = matrix()
     x[60] = np.nan
-    got = back(impute.impute_knn(frame(spark, x), "id", COLUMNS, k=5, part_rows=part_rows, probe=probe))
+    got = back(impute.impute_knn(frame(spark, x), "id", COLUMNS, k=5, leaf_rows=leaf_rows, part_rows=part_rows, probe=probe))
     assert got == pytest.approx(brute_knn(x, 5))
 
 
+def correlated(n, d, factors, missing, seed, noise=0.2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, factors)) @ rng.normal(size=(factors, d)) + noise * rng.normal(size=(n, d))
+    x = x / x.std(axis=0)
+    x[rng.random(x.shape) < missing] = np.nan
+    return x
+
+
+def wide_frame(spark, x, **more):
+    d = x.shape[1]
+    data = pd.DataFrame(x, columns=[f"c{j}" for j in range(d)]).assign(id=np.arange(len(x)), **more)
+    return spark.createDataFrame(data).select([F.when(~F.isnan(c), F.col(c)).alias(c) if c.startswith("c") else F.col(c) for c in data.columns])
+
+
+def test_knn_visits_few_leaves(spark):
+    """With gaps in 16.6 % of the cells a row meets less than a fifth of the units, and no bound hides a neighbour."""
+    x = correlated(3000, 24, 2, 0.166, 1, 0.1)
+    columns = [f"c{j}" for j in range(24)]
+    base = cut_lineage(wide_frame(spark, x).select(F.lit(0).alias(GROUP), "id", *columns))
+    index = knn.build_index(base, columns, 1, leaf_rows=32)
+    queries = index.queries()
+    probed = index.visits(queries, True).count()
+    found = cut_lineage(knn._best(index.search(queries, True, 5), 5))
+    rest = index.visits(index.limited(queries, found, 5), False).count()
+    assert (probed + rest) / (queries.count() * index.count) < 0.2
+    units = knn.Units(*index.units.value)
+    placed = index.placed.toPandas()
+    y, unit = placed[columns].to_numpy(float), placed["unit"].to_numpy()
+    for i in range(0, 3000, 300):
+        bounds = units.lower_bounds(0, y[i : i + 1])[0]
+        both = ~np.isnan(y[i]) & ~np.isnan(y)
+        distance = 24 * np.where(both, (y - y[i]) ** 2, 0).sum(axis=1) / np.maximum(both.sum(axis=1), 1)
+        assert (bounds[unit][both.any(axis=1)] <= distance[both.any(axis=1)]).all()
+
+
+def versions(spark, xs):
+    """Several tables in one frame, told apart by ``v``; ids repeat."""
+    parts = [frame(spark, x).withColumn("v", F.lit(v)) for v, x in xs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@pytest.mark.parametrize("method", ["mean", "median", "knn", "em", "chained", "forest"])
+def test_versions_of_a_table_are_filled_apart(spark, method):
+    """Filling many versions at once gives what filling each of them alone gives."""
+    xs = {None: matrix(60, 1, 0.2, 10), "b": matrix(50, 2, 0.3, 5), "a": matrix(40, 3, 0.0, 5)}
+    fills = {
+        "mean": impute.impute_mean, "median": impute.impute_median, "em": lambda d, c, **o: impute.impute_em(d, c, max_rounds=4, **o),
+        "chained": lambda d, c, **o: impute.impute_chained(d, c, max_rounds=3, **o),
+        "knn": lambda d, c, **o: impute.impute_knn(d, "id", c, leaf_rows=8, **o),
+        "forest": lambda d, c, **o: impute.impute_forest(d, c, max_rounds=2, trees=3, **o),
+    }
+    together = cut_lineage(fills[method](versions(spark, xs), COLUMNS, by="v"))
+    for v, x in xs.items():
+        got = back(together.where(F.col("v").eqNullSafe(F.lit(v))))
+        assert got[~np.isnan(x)] == pytest.approx(x[~np.isnan(x)]) and not np.isnan(got).any()
+        if method != "forest":  # its trees are seeded by the version's number
+            assert got == pytest.approx(back(fills[method](frame(spark, x), COLUMNS)), rel=1e-6, abs=1e-8)
+
+
 def test_simple_fills(spark):
     x = matrix()
     df = frame(spark, x)
@@ -61,14 +125,81 @@ def test_simple_fills(spark):
     assert impute.impute_mode(modes, ["a"]).where("id = 5").first().a == 1.0
 
 
+def dense_em(x, rounds, ridge=1e-8):
+    """The same model, row by row."""
+    centre, scale = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
+    z = (x - centre) / scale
+    mean, cov = np.zeros(x.shape[1]), np.eye(x.shape[1]) * (1 + ridge)
+
+    def row(v):
+        gone, extra, out = np.isnan(v), np.zeros_like(cov), v.copy()
+        if gone.any():
+            here = ~gone
+            gain = cov[np.ix_(gone, here)] @ np.linalg.pinv(cov[np.ix_(here, here)])
+            out[gone] = mean[gone] + gain @ (v[here] - mean[here])
+            extra[np.ix_(gone, gone)] = cov[np.ix_(gone, gone)] - gain @ cov[np.ix_(here, gone)]
+        return out, extra
+
+    for _ in range(rounds):
+        pairs = [row(v) for v in z]
+        full, extra = np.array([p[0] for p in pairs]), sum(p[1] for p in pairs)
+        mean = full.mean(axis=0)
+        away = full - mean
+        cov = (away.T @ away + extra) / len(z) + ridge * np.eye(len(mean))
+    return np.array([row(v)[0] for v in z]) * scale + centre
+
+
+def dense_chain(x, rounds, ridge=1e-9):
+    centre, scale = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
+    z, gone = (x - centre) / scale, np.isnan(x)
+    now, n = np.where(gone, 0.0, z), len(x)
+    for _ in range(rounds):
+        guess = now.copy()
+        for j in np.flatnonzero(gone.any(axis=0)):
+            whole = np.column_stack([np.ones(n), np.delete(now, j, axis=1)])
+            some = whole[~gone[:, j]]
+            weights = np.linalg.solve(some.T @ some + ridge * len(some) * np.eye(some.shape[1]), some.T @ now[~gone[:, j], j])
+            guess[gone[:, j], j] = whole[gone[:, j]] @ weights
+        now = guess
+    return now * scale + centre
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e6])
 @pytest.mark.parametrize("method", ["em", "chained"])
-def test_gaussian_fills_use_the_other_columns(spark, method):
-    x = matrix(n=300, copies=0, missing=0.15)
-    fill = {"em": impute.impute_em, "chained": impute.impute_chained}[method]
-    got, gone = back(fill(frame(spark, x), COLUMNS)), np.isnan(x)
-    assert not np.isnan(got).any() and got[~gone] == pytest.approx(x[~gone])
-    having = ~np.isnan(x[:, 0]) & np.isnan(x[:, 1])
-    assert np.abs(got[having, 1] - x[having, 0]).mean() < 0.2
+def test_gaussian_fills_equal_a_dense_solution(spark, method, scale, monkeypatch):
+    """Also with columns far from zero, sums in many pieces, and merging in two levels."""
+    monkeypatch.setattr(grouped, "PIECE", 3)
+    monkeypatch.setattr(grouped, "ONE_LEVEL", 1)
+    monkeypatch.setattr(grouped, "PART_BYTES", 1500)
+    monkeypatch.setattr(chained, "SUM_BYTES", 300)
+    x = matrix(n=150, copies=0, missing=0.15) * scale + 1000 * scale
+    x[3] = np.nan
+    fill, dense = {"em": (impute.impute_em, dense_em), "chained": (impute.impute_chained, dense_chain)}[method]
+    with pytest.warns(grouped.NotSettled):
+        got = back(fill(frame(spark, x), COLUMNS, max_rounds=3, tolerance=1e-12))
+    assert (got - 1000 * scale) / scale == pytest.approx((dense(x, 3) - 1000 * scale) / scale, abs=1e-5)
+
+
+def test_em_of_a_pattern_per_row(spark):
+    """Many columns, and hardly two rows that lack the same cells."""
+    x = correlated(1500, 60, 3, 0.16, 2)
+    names = [f"c{j}" for j in range(60)]
+    out = impute.impute_em(wide_frame(spark, x), names, max_rounds=8).toPandas().sort_values("id")[names].to_numpy()
+    truth, gone = correlated(1500, 60, 3, 0.0, 2), np.isnan(x)
+    assert out[~gone] == pytest.approx(x[~gone]) and ((out - truth)[gone] ** 2).mean() < 0.1 * (truth[gone] ** 2).mean()
+
+
+@pytest.mark.parametrize("fit", ["fit_mean", "fit_median", "fit_em", "fit_chained"])
+def test_a_fit_fills_rows_it_has_not_seen(spark, fit):
+    """Rows of a test fold get what the training rows fix, and large ids and other columns pass unchanged."""
+    x = matrix(n=200, copies=0, missing=0.15)
+    train, big = frame(spark, x[:150]), 2**60 + 1
+    model = getattr(impute, fit)(train, COLUMNS)
+    whole = back(model.fill(frame(spark, x)))
+    alone = model.fill(frame(spark, x).where("id >= 150").withColumn("id", F.col("id") + big).withColumn("t", F.lit("s")))
+    rows = sorted(alone.collect(), key=lambda r: r.id)
+    assert [r.id for r in rows] == [big + i for i in range(150, 200)] and {r.t for r in rows} == {"s"}
+    assert back(alone) == pytest.approx(whole[150:]) and not np.isnan(whole).any()
 
 
 def test_forest(spark):
@@ -99,18 +230,38 @@ def test_compare_scores_hidden_cells_only(spark):
     assert masked.where(F.col("a").isNotNull() & F.col("__true_a").isNotNull()).count() == 0
 
 
-def test_queries_impute_all_columns(monkeypatch):
-    from anchorline.catalogue import preparation
-
-    seen = {}
-    frame = type("Frame", (), {"select": lambda self, *columns: self})()
-    monkeypatch.setattr(preparation, "fixed_matrix", lambda *a: frame)
-    monkeypatch.setattr(preparation, "_scaled", lambda *a: frame)
-    monkeypatch.setattr(preparation.impute, "impute_compare", lambda df, key, columns, methods, hidden: seen.update(compared=columns))
-    monkeypatch.setattr(preparation.impute, "impute_forest", lambda df, columns, **kw: seen.setdefault("forests", []).append(kw))
-    preparation.impute_compare(None, "")
-    preparation.impute_forest(None, "")
-    preparation.imputers()["forest"](None, [])
-    assert seen["compared"] == preparation.FEATURES and len(preparation.FEATURES) == 24
-    alone, compared = seen["forests"]
-    assert alone["max_rounds"] >= 3 and compared["max_rounds"] >= 2 and compared["trees"] >= 10
+@pytest.mark.parametrize("grown", [1, 10])
+def test_forests_fill_rows_outside_the_sample(spark, grown, monkeypatch):
+    """Rows beyond ``fit_rows`` are filled by the sample's forests, as are the sample's own rows."""
+    x = correlated(400, 4, 1, 0.15, 7, 0.05)
+    gone = np.isnan(x)
+    names = ["c0", "c1", "c2", "c3"]
+    df = wide_frame(spark, x)
+    out = impute.impute_forest(df, names, max_rounds=3, trees=grown, fit_rows=150).toPandas().sort_values("id")[names].to_numpy()
+    assert not np.isnan(out).any() and out[~gone] == pytest.approx(x[~gone])
+    mean = np.nanmean(x, axis=0)
+    truth = correlated(400, 4, 1, 0.0, 7, 0.05)
+    error = lambda y: ((y - truth)[gone] ** 2).mean()
+    assert error(out) < 0.35 * error(np.where(gone, mean, x))
+
+
+def test_forest_of_categories(spark):
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 3, 200).astype(float)
+    x = np.column_stack([kind, kind * 2 + 0.1 * rng.normal(size=200), rng.normal(size=200)])
+    x[:40, 0] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=range(200))).withColumn("a", F.when(~F.isnan("a"), F.col("a")))
+    out = impute.impute_forest(df, ["a", "b", "c"], ["a"], max_rounds=2, trees=9).toPandas().sort_values("id")
+    assert (out["a"].to_numpy() == kind).mean() > 0.97
+
+
+def test_published_order_of_the_methods(spark):
+    """On correlated columns all methods run over all versions; forests and regressions beat the mean."""
+    x = correlated(300, 6, 2, 0.05, 11, 0.1)
+    df = wide_frame(spark, x)
+    names = [f"c{j}" for j in range(6)]
+    methods = {k: m for k, m in preparation.imputers(max_rounds=2, trees=10).items() if k != "knn"}
+    methods["knn"] = lambda d, c, by: impute.impute_knn(d, "id", c, by=by)
+    rows = impute.impute_compare(df, "id", names, methods, [0.1, 0.3]).collect()
+    r2 = {(r.method, r.fraction): r.r2 for r in rows}
+    assert len(r2) == 12 and all(r2["forest", f] > r2["mean", f] + 0.2 and r2["chained", f] > r2["mean", f] for f in (0.1, 0.3))
