@@ -90,12 +90,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def level(vectors: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component near 1: no square overflows or vanishes, and
+    no digit of a cosine changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True, initial=0.0))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = level(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, so that a pair's value does not depend on what stands beside it."""
+    a, b = level(a), level(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 

@@ -221,6 +221,13 @@ def test_neighbours_edges(spark, monkeypatch):
         assert {r["vec_id"] for r in got} <= set(ids) and [r["rank"] for r in got if r["query_id"] == 0] == sorted(r["rank"] for r in got if r["query_id"] == 0)
         for q, expected in brute_neighbours(ids, vectors, ids % 10 == 0, 5):
             assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == expected
+    # lengths whose squares overflow or vanish change no cosine
+    sized = [(i, (np.array(v) * [1.0, 1e200, 1e-200][i % 3]).tolist()) for i, v in rows[:30]]
+    far = spark.createDataFrame(sized, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(far, F.col("vec_id") % 10 == 0, target=1.0).collect()
+    for q, expected in brute_neighbours(ids[:30], vectors[:30], ids[:30] % 10 == 0, 5):
+        found = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in found] == expected and all(0 < abs(r["score"]) <= 1 + 1e-12 for r in found)
     few = neighbours.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert len(few) == 2
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).collect() == []
