@@ -190,8 +190,8 @@ def fit_toxicity(
 ) -> Field | None:
     """Fit on at most ``texts_each`` documents per label, at most SEQUENCES_PER_TEXT sequences of each.
 
-    Rows without id, label or text are left out; if an id is labelled twice, the larger label holds; equal texts count
-    once. The sampled ids are few by that bound and are broadcast, so texts of other documents do not move. None if one
+    Rows without id, label or text are left out; if an id or a text is labelled twice, the larger label holds; equal
+    texts count once. The sampled ids are few by that bound and are broadcast, so texts of other documents do not move. None if one
     of the labels is missing.
 
     The bound takes a smaller share of the larger label, so the document curve is moved back to the shares of the labels
@@ -222,7 +222,9 @@ def fit_toxicity(
                     texts.append(data[bounds[i] : bounds[i + 1]].tobytes())
             yield pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary()), "toxic": batch.column(1)})
 
-    found = {bytes(r[0]): r[1] for r in map_arrow(rows.select("__text", "__toxic"), cut, "text binary, toxic int").collect()}
+    found: dict[bytes, int] = {}  # of equal texts with different labels the larger one stands
+    for r in map_arrow(rows.select("__text", "__toxic"), cut, "text binary, toxic int").collect():
+        found[bytes(r[0])] = max(r[1], found.get(bytes(r[0]), 0))
     texts = sorted(t for t in found if t)
     toxic_flag = np.array([found[t] > 0 for t in texts], bool)
     if toxic_flag.all() or not toxic_flag.any():

@@ -104,6 +104,20 @@ def test_toxicity_scores_do_not_follow_the_sample(spark):
     assert abs(means[0] - means[1]) < 0.05
 
 
+def test_of_equal_texts_with_different_labels_the_larger_one_stands(spark):
+    rows = [(i, int(i % 5 == 0), f"plain words {i} " + ("foul vile" if i % 5 == 0 else "fine")) for i in range(60)]
+    copies = [(100 + i, i % 2, "the same text twice") for i in range(6)]
+
+    def fit(some):
+        frame = spark.createDataFrame(some, "doc_id long, toxic int, text string").repartition(3)
+        return toxicity.fit_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+
+    one, other = fit(rows + copies), fit((rows + copies)[::-1])
+    alone = fit(rows + [(100, 1, "the same text twice")])
+    assert one.curve.tolist() == other.curve.tolist()
+    assert one.curve[1:].tolist() == alone.curve[1:].tolist()
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(3)
     field = toxicity.Field(np.zeros(toxicity.SLOTS + 1), 0.0, rng.normal(size=(2, 2)), np.zeros(3))
