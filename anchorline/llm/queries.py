@@ -32,7 +32,11 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     field = toxicity.fit_toxicity(docs.where(~crc_held_out()), labels.where(~crc_held_out()))
     found = toxicity.tag_documents(docs, field)
-    return found.select("doc_id", crc_held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id", crc_held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"),
+        spans.alias("spans"),
+    )
 
 
 def op3_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
