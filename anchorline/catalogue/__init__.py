@@ -9,6 +9,7 @@ from anchorline.catalogue import (  # noqa: F401  (importing registers the queri
     metric_queries,
     model_queries,
     preparation,
+    run_queries,
     sampling,
     scans,
     sweep_queries,

@@ -33,41 +33,41 @@ class Sources:
     death: DataFrame
 
 
-def specimen_matrix(
+def specimen_matrices(
     sources: Sources,
-    vitals: tuple[int, int] = (48, 48),
-    labs: tuple[int, int] = (72, 72),
+    runs: Mapping[str, feats.Windows],
     anchor: str = "micro",
     columns: Mapping[str, Mapping[str, str]] = CLINICAL_COLUMNS,
     concept_ids: Sequence[int] | None = None,
     one_visit: bool = True,
     out: str | None = None,
 ) -> DataFrame:
-    """Cohort, windowed measurements without outliers, six statistics each, statics and outcome.
+    """The matrices of many windows, told apart by ``run_id``: cohort, windowed measurements without outliers, six
+    statistics each, statics and outcome.
 
-    The windowed measurements are written to ``out`` by run, or checkpointed: they are read for the
-    outlier limits and again for the features, and the join that makes them is the dearest step.
+    All runs share one scan and one join of the measurements; outliers are judged within a run. The windowed rows are
+    written to ``out`` by run, or checkpointed: they are read for the outlier limits and again for the features, and
+    the join that makes them is the dearest step. A dictionary without families gets them from the concept lists.
     """
-    run_id = run_name(anchor, vitals, labs)
     keys = list(SPECIMEN_KEYS)
+    dictionary = sources.concept if "family" in sources.concept.columns else concepts.with_families(sources.concept)
     who = members.specimen_cohort(
         sources.micro, sources.patients, sources.person, sources.admissions, sources.icustays
     )
     # four later steps start from the cohort, so it is made once
     anchored = cut_lineage(members.with_anchor(who, anchor))
-    rows = feats.window_measurements(
-        sources.measurement, sources.concept, anchored, {"vital": vitals, "lab": labs}, concept_ids=concept_ids
-    )
+    rows = feats.sweep_windows(sources.measurement, dictionary, anchored, runs, concept_ids=concept_ids)
     if out:
-        stored = tables.write_table(rows.withColumn("run_id", F.lit(run_id)), f"{out}/long", ["run_id"])
-        rows = stored.where(F.col("run_id") == run_id).drop("run_id")
+        stored = tables.write_table(rows, f"{out}/long", ["run_id"])
+        rows = stored.where(F.col("run_id").isin(list(runs)))
     else:
         rows = cut_lineage(rows)
-    kept = quality.reject_vitals_outliers(rows.where(F.col("family") == "vital")).unionByName(
-        quality.reject_labs_outliers(rows.where(F.col("family") == "lab"))
+    by = ["run_id", "concept_name"]
+    kept = quality.reject_vitals_outliers(rows.where(F.col("family") == "vital"), by=by).unionByName(
+        quality.reject_labs_outliers(rows.where(F.col("family") == "lab"), by=by)
     )
     names = {name: column for family in columns.values() for name, column in family.items()}
-    wide = feats.feature_stats(kept, keys, names, require=["vital", "lab"])
+    wide = feats.feature_stats(kept, ["run_id", *keys], names, require=["vital", "lab"])
     statics = members.specimen_statics(
         anchored, sources.patients, sources.person, sources.visits, sources.concept, one_visit
     )
@@ -75,6 +75,14 @@ def specimen_matrix(
     return feats.matrix(anchored, wide, died, keys, statics)
 
 
+def specimen_matrix(
+    sources: Sources, vitals: tuple[int, int] = (48, 48), labs: tuple[int, int] = (72, 72), anchor: str = "micro", **options
+) -> DataFrame:
+    """The matrix of one pair of windows; see ``specimen_matrices`` for the options."""
+    run = {run_name(anchor, vitals, labs): {"vital": vitals, "lab": labs}}
+    return specimen_matrices(sources, run, anchor, **options).drop("run_id")
+
+
 # the two published orders of preparation; both are lists of (step, argument)
 SCALE_THEN_IMPUTE = (("scale", "standard"), ("impute", "forest"))
 IMPUTE_THEN_SCALE = (("coverage", 25), ("impute", "forest"), ("anomalies", "z"), ("impute", "mean"), ("scale", "standard"))
@@ -123,6 +131,11 @@ class Suite:
     test_fraction: float = 0.2
     folds: int = 5
     parallelism: int = 8
+    models: Sequence[str] | None = None  # names of the models to run; all if None
+    stages: Sequence[Mapping[str, Sequence]] | None = None  # tunes boosted trees stage after stage instead of by their grid
+
+    def wants(self, *names: str) -> bool:
+        return self.models is None or any(n in self.models for n in names)
 
     def single(self, selected: bool) -> dict[str, models.Family]:
         return {
@@ -133,7 +146,12 @@ class Suite:
         }
 
 
+ENSEMBLES = ("xgb_ensemble", "lr_ensemble")
+
+
 def _tuned(df: DataFrame, features: Sequence[str], family: models.Family, suite: Suite) -> dict[str, object]:
+    if suite.stages and family.name == "xgb":
+        return models.tune_staged(df, features, family, suite.stages, suite.folds, suite.parallelism)[0]
     options = models.candidates(family.grid) if family.grid else [{}]
     if len(options) == 1:
         return options[0]
@@ -141,48 +159,66 @@ def _tuned(df: DataFrame, features: Sequence[str], family: models.Family, suite:
 
 
 def run_model_suite(
-    df: DataFrame, ids: Sequence[str], features: Sequence[str], views: Mapping[str, Sequence[str]], suite: Suite
+    df: DataFrame, ids: Sequence[str], features: Sequence[str], views: Mapping[str, Sequence[str]], suite: Suite,
+    choices: str | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Ten models on one labelled, prepared frame: four families on all and on selected features, and
+    """Up to ten models on one labelled, prepared frame: four families on all and on selected features, and
     two stacked ones. Returns tidy out-of-fold scores (model, fold, metric, value) and the selection.
 
     Out-of-fold predictions of all models form one checkpointed table, scored in one go. First-level
-    settings are tuned on the training part only, on the first view.
+    settings are tuned on the training part only, on the first view. With ``choices``, a folder, the selected features and
+    tuned settings are stored there as soon as they are found, and a run that finds them there uses them.
     """
+    spark = df.sparkSession
     frame = models.model_frame(df, ids, features, k=suite.folds).persist()
-    selected = [
-        c["feature"]
-        for c in models.select_forward(
-            frame, list(suite.select_from or features), suite.n_select, suite.folds, suite.select_depth
-        )
-    ]
+    known = tables.load_choices(spark, choices) if choices else {}
+    made = [frame]
+
+    def chosen(name: str, find) -> object:
+        if name not in known:
+            known[name] = find()
+            if choices:
+                tables.store_choice(spark, choices, name, known[name])
+        return known[name]
+
+    def select() -> list[str]:
+        found = models.select_forward(frame, list(suite.select_from or features), suite.n_select, suite.folds, suite.select_depth)
+        return [c["feature"] for c in found]
+
     parts: list[DataFrame] = []
 
     def add(name: str, rows: DataFrame, columns: Sequence[str], family: models.Family) -> None:
-        settings = _tuned(rows, columns, family, suite)
+        settings = chosen(f"settings/{name}", lambda: _tuned(rows, columns, family, suite))
         scored = models.out_of_fold(rows, columns, family, settings, ids, suite.folds, suite.parallelism)
         parts.append(scored.withColumn("model", F.lit(name)))
 
+    selected: list[str] = []
     for name, family in suite.single(False).items():
-        add(name, frame, features, family)
+        if suite.wants(name):
+            add(name, frame, features, family)
     for name, family in suite.single(True).items():
-        add(f"{name}_min", frame, selected, family)
-
-    split = labels.split_train_test(frame, suite.test_fraction, ids).persist()
-    train = split.where(~F.col("is_test"))
-    first_view = next(iter(views.values()))
-    boosted = _tuned(train, first_view, suite.boosted, suite)
-    settings = {"xgb": boosted, "lgbm": boosted, "lr": _tuned(train, first_view, suite.logistic, suite)}
-    stacked = stacking.stack_first_level(
-        split, views, list(suite.single(False).values()), settings, ids, suite.parallelism
-    )
-    outputs = [c for c in stacked.columns if c not in (*ids, "label")]
-    second = labels.stratified_folds(stacked, "label", ids, suite.folds).persist()
-    add("xgb_ensemble", second, outputs, suite.boosted)
-    add("lr_ensemble", second, outputs, suite.logistic)
+        if suite.wants(f"{name}_min"):
+            selected = selected or list(chosen("selection", select))
+            add(f"{name}_min", frame, selected, family)
+
+    if suite.wants(*ENSEMBLES):
+        split = labels.split_train_test(frame, suite.test_fraction, ids).persist()
+        train = split.where(~F.col("is_test"))
+        first_view = next(iter(views.values()))
+        boosted = chosen("settings/first_boosted", lambda: _tuned(train, first_view, suite.boosted, suite))
+        logistic = chosen("settings/first_lr", lambda: _tuned(train, first_view, suite.logistic, suite))
+        stacked = stacking.stack_first_level(
+            split, views, list(suite.single(False).values()), {"xgb": boosted, "lgbm": boosted, "lr": logistic}, ids, suite.parallelism
+        )
+        outputs = [c for c in stacked.columns if c not in (*ids, "label")]
+        second = labels.stratified_folds(stacked, "label", ids, suite.folds).persist()
+        made += [split, second]
+        for name, family in zip(ENSEMBLES, (suite.boosted, suite.logistic), strict=True):
+            if suite.wants(name):
+                add(name, second, outputs, family)
 
     predictions = cut_lineage(reduce(DataFrame.unionByName, parts))
-    for cached in (frame, split, second):
+    for cached in made:
         cached.unpersist()
     group = ["model", "fold"]
     return scores_long(score_table(predictions, group), group, METRICS), selected
@@ -198,22 +234,31 @@ def run_all_targets(
     targets: Sequence[int | tuple[int, int]] = labels.TARGETS,
     suite: Suite | None = None,
     censor_hours: int | None = None,
+    label_anchor: str = "anchor_time",
+    resume: bool = False,
 ) -> DataFrame:
     """Label, model and store the scores of every target window; a target rerun replaces its scores.
 
-    ``censor_hours`` drops members who died before the observation window ended.
+    ``censor_hours`` drops members who died before the observation window ended. Outcomes are counted from
+    ``label_anchor``, which need not be the time that the windows lie around. With ``resume`` targets whose scores are
+    stored are left alone, and selected features and tuned settings, stored beside the scores by run and target, are
+    used again.
     """
+    spark = prepared.sparkSession
     rows = labels.censor_early(prepared, censor_hours) if censor_hours is not None else prepared
     rows = cut_lineage(rows)
     views = {name: cols for name, cols in feats.feature_views(features, families).items() if cols}
+    done = tables.stored_runs(spark, path) if resume else set()
     for start, end in labels.target_spans(targets):
-        scores, _ = run_model_suite(
-            labels.label_outcome(rows, start, end), ids, features, views, suite or Suite()
-        )
+        if (run_id, start, end) in done:
+            continue
+        labelled = labels.label_outcome(rows, start, end, label_anchor)
+        choices = f"{path}-choices/{run_id}/{start}-{end}" if resume else None
+        scores, _ = run_model_suite(labelled, ids, features, views, suite or Suite(), choices)
         tables.store_scores(
             scores.withColumns(
                 {"run_id": F.lit(run_id), "target_start": F.lit(start), "target_end": F.lit(end)}
             ),
             path,
         )
-    return tables.load_scores(rows.sparkSession, path)
+    return tables.load_scores(spark, path)

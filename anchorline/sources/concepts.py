@@ -1,5 +1,11 @@
 """Concept lists of the clinical sources: which ids are read and which names become columns."""
 
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
 # fixed values: measurement concept ids of vitals
 VITAL_CONCEPT_IDS = [
     3027018,
@@ -21,6 +27,19 @@ LAB_CONCEPT_IDS = [
     3004501, 3018572, 3027315, 3016293, 3023103, 3037278, 3003282, 3023314, 3013466,
 ]
 
+FAMILIES = {"vital": VITAL_CONCEPT_IDS, "lab": LAB_CONCEPT_IDS}
+
+
+def with_families(concept: DataFrame, families: Mapping[str, Sequence[int]] = FAMILIES) -> DataFrame:
+    """The dictionary's id, name and family of the listed ids. A dictionary of the common model has no families; an id
+    listed twice belongs to the family named first."""
+    family = F.lit(None).cast("string")
+    for name, ids in reversed(list(families.items())):
+        family = F.when(F.col("concept_id").isin(list(ids)), F.lit(name)).otherwise(family)
+    named = concept.select("concept_id", "concept_name", family.alias("family"))
+    return named.where(F.col("family").isNotNull())
+
+
 # fixed values: vitals concept name -> column
 VITAL_COLUMNS = {
     "Body temperature": "temp",

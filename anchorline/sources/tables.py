@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -73,12 +75,48 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True)
 
 
+STORING = Lock()  # runs that are submitted side by side store one after the other
+
+
 def store_scores(scores: DataFrame, path: str) -> DataFrame:
     """Tidy scores by run and target; storing a run again replaces it."""
     parts = ["run_id", "target_start", "target_end"]
-    write_table(like(scores, SCORES), path, parts)
+    with STORING:
+        write_table(like(scores, SCORES), path, parts)
     return load_scores(scores.sparkSession, path)
 
 
 def load_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCORES).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    """File system and path object of a folder, wherever Spark keeps it."""
+    java = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return java.getFileSystem(spark._jsc.hadoopConfiguration()), java
+
+
+def stored_runs(spark: SparkSession, path: str) -> set[tuple[str, int, int]]:
+    """(run, target start, target end) whose scores are stored: the ledger of a sweep. Empty before the first run."""
+    files, folder = _folder(spark, path)
+    if not files.exists(folder):
+        return set()
+    rows = load_scores(spark, path).select("run_id", "target_start", "target_end").distinct().collect()
+    return {tuple(r) for r in rows}
+
+
+CHOICES = "name string, choice string"
+
+
+def store_choice(spark: SparkSession, path: str, name: str, choice: object) -> None:
+    """A selection or settings found by a run, as JSON; the one stored last holds."""
+    row = spark.createDataFrame([(name, json.dumps(choice))], CHOICES)
+    row.coalesce(1).withColumn("stored", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def load_choices(spark: SparkSession, path: str) -> dict[str, object]:
+    files, folder = _folder(spark, path)
+    if not files.exists(folder):
+        return {}
+    last = spark.read.parquet(path).groupBy("name").agg(F.max_by("choice", "stored").alias("choice"))
+    return {r["name"]: json.loads(r["choice"]) for r in last.collect()}
