@@ -6,9 +6,10 @@ use fewer picks, iterations and grid points, as the README says.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from anchorline.catalogue.base import FEATURES, KEYS, fixed_matrix, query
+from anchorline.catalogue.base import FEATURES, KEYS, fixed_matrix, query, rounded
 from anchorline.operators import features as feats, impute, labels, models, scaling, stacking
 from anchorline.plans.runs import Suite, run_all_targets, run_model_suite
 from anchorline.session import scratch_path
@@ -35,12 +36,23 @@ def views():
     return feats.feature_views(FEATURES, hospital.NAMES)
 
 
-@query("assemble_features")
-def assemble_features(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
+def _assembled_sql() -> str:
+    scaled = ", ".join(
+        f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1.0 ELSE stddev_pop({c}) OVER () END AS {c}" for c in FEATURES
+    )
+    return f"""WITH alive AS (SELECT * FROM labelled WHERE death_datetime IS NULL OR death_datetime >= anchor_time),
+        z AS (SELECT micro_specimen_id, person_id, target, {scaled} FROM alive),
+        filled AS (SELECT micro_specimen_id, person_id, target, {', '.join(f'coalesce({c}, avg({c}) OVER ()) AS {c}' for c in FEATURES)} FROM z)
+        SELECT micro_specimen_id, person_id, unnest(range({len(FEATURES)})) AS position,
+          round(unnest([{', '.join(FEATURES)}]), 6) + 0.0 AS value, CAST(CAST(target AS INTEGER) AS DOUBLE) AS label FROM filled"""
 
+
+@query("assemble_features", _assembled_sql())
+def assemble_features(spark, sf_dir):
+    """The assembled vectors, a row per position."""
     rows = models.assemble(FEATURES).transform(frame(spark, sf_dir))
-    return rows.select(*KEYS, vector_to_array("features").alias("features"), "label")
+    each = rows.select(*KEYS, "label", F.posexplode(vector_to_array("features")).alias("position", "value"))
+    return rounded(each.withColumn("position", F.col("position").cast("long")), ["value"])
 
 
 def _scored(spark, sf_dir, family, settings):

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from anchorline.catalogue.base import COLUMNS, FEATURES, KEYS, STAT_SQL, fixed_matrix, query, rounded
 from anchorline.catalogue.sweep_queries import THRESHOLDS
+from anchorline.functions.metrics import METRICS, score_table, scores_long
 from anchorline.operators import features as feats, impute, labels, models
-from anchorline.plans import ledger
+from anchorline.plans import fitted, ledger
 from anchorline.plans.runs import Sources, Suite
 from anchorline.plans.sweeps import AFTER_HOURS, window_runs
-from anchorline.session import scratch_path
+from anchorline.session import cut_lineage, scratch_path
 from anchorline.sources import concepts, hospital
 
 ID = "micro_specimen_id"
@@ -158,3 +159,51 @@ def run_missingness(spark, sf_dir):
 def run_scalings(spark, sf_dir):
     rows = fixed_matrix(spark, sf_dir).drop("target")
     return _swept(spark, ledger.scaling_settings(rows, FEATURES, ["none", "standard", "minmax"], ID, "micro"))
+
+
+SPLIT_SQL = """SELECT micro_specimen_id, row_number() OVER (ORDER BY md5(concat(CAST(micro_specimen_id AS VARCHAR), '42')),
+    micro_specimen_id) AS r, count(*) OVER () AS n FROM labelled"""
+
+
+def _on_train(c: str) -> str:
+    train = "FILTER (WHERE NOT is_test) OVER ()"
+    return f"({c} - avg({c}) {train}) / CASE WHEN stddev_pop({c}) {train} = 0 THEN 1.0 ELSE stddev_pop({c}) {train} END AS {c}"
+
+
+def _split(spark, sf_dir) -> DataFrame:
+    return cut_lineage(labels.split_train_test(fixed_matrix(spark, sf_dir), 0.2, [ID]))
+
+
+@query(
+    "prepare_fitted",
+    f"""WITH ranked AS ({SPLIT_SQL}), parted AS (SELECT m.*, r <= ceil(0.2 * n) AS is_test FROM matrix m
+          JOIN ranked k ON k.micro_specimen_id = m.micro_specimen_id),
+        z AS (SELECT micro_specimen_id, is_test, {', '.join(_on_train(c) for c in FEATURES)} FROM parted)
+        SELECT micro_specimen_id, is_test, {', '.join(
+            f"round(coalesce({c}, avg({c}) FILTER (WHERE NOT is_test) OVER ()), 6) + 0.0 AS {c}" for c in FEATURES)} FROM z""",
+)
+def prepare_fitted(spark, sf_dir):
+    """Scales and means learned from the training rows, applied to all rows."""
+    rows = _split(spark, sf_dir).select(ID, "is_test", *FEATURES)
+    ready = fitted.fit_preparation(rows.where(~F.col("is_test")), FEATURES, SCALE_FIRST)
+    return rounded(ready.apply(rows), FEATURES)
+
+
+@query("score_saved")
+def score_saved(spark, sf_dir):
+    """A preparation and a regression fitted on the training rows, saved, loaded, and applied to raw rows."""
+    rows = _split(spark, sf_dir).withColumn("label", F.col("target").cast("int").cast("double"))
+    path = scratch_path(spark, "scorer")
+    fitted.fit_scorer(rows.where(~F.col("is_test")), FEATURES, SCALE_FIRST, models.logistic(), {"C": 1.0}).save(spark, path)
+    return fitted.load_scorer(spark, path).score(rows, [*KEYS, "is_test"])
+
+
+@query("cross_validate_prepared")
+def cross_validate_prepared(spark, sf_dir):
+    """Cross-validation in which every fold's scales and fillings are learned from the other folds."""
+    rows = models.model_frame(fixed_matrix(spark, sf_dir), KEYS, FEATURES)
+    scored = models.out_of_fold(
+        rows, FEATURES, models.logistic(), {"C": 1.0}, KEYS, parallelism=5,
+        preparation=lambda train: fitted.fit_preparation(train, FEATURES, SCALE_FIRST).apply,
+    )
+    return scores_long(score_table(cut_lineage(scored), ["fold"]), ["fold"], METRICS)

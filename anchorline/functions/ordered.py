@@ -9,9 +9,11 @@ are approximate, the result is exact: any cuts give the same answer.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from anchorline.session import cut_lineage, stored_small
 
@@ -36,6 +38,60 @@ def with_order_bucket(df: DataFrame, order: str, buckets: int = 256) -> DataFram
     )
 
 
+SAMPLED_PER_BUCKET = 100
+TIE_PARTS = 64
+
+
+def with_tie_bucket(df: DataFrame, order: str, tie: str) -> DataFrame:
+    """A bucket that preserves (order, tie), of stored rows; ``tie`` is a number.
+
+    The number of cuts follows that of the rows; they are taken from a bounded sample of about SAMPLED_PER_BUCKET rows
+    a bucket. A value that several cuts fall on holds more than a bucket's share: its rows are cut again by ``tie``,
+    into TIE_PARTS parts for every such cut, and what follows it in its bucket comes after them.
+    """
+    n = df.count()
+    buckets = max(LEAST_BUCKETS, 1 << max(0, (n // ROWS_PER_BUCKET)).bit_length())
+    sample = df.sample(min(1.0, SAMPLED_PER_BUCKET * buckets / max(n, 1)), 11)
+    fractions = [i / buckets for i in range(1, buckets)]
+    cuts = sample.agg(F.percentile_approx(order, fractions, 10 * buckets)).first()[0] or []
+    hot = [v for v, times in Counter(cuts).items() if times > 1]
+    kind = df.schema[order].dataType
+    ends = [_literal(v, kind) for v in sorted(set(cuts))]
+    bucketed = _bucketed(df, order, ends)
+    if not hot:
+        return bucketed
+    each = {v: TIE_PARTS * times for v, times in Counter(cuts).items() if times > 1}
+    most = max(each.values())
+    shares = [i / most for i in range(1, most)]
+    inside = sample.where(F.col(order).isin([_literal(v, kind) for v in hot])).groupBy(order).agg(F.percentile_approx(tie, shares, 10 * most).alias("cuts"))
+    found = {r[0]: sorted(set(r["cuts"])) for r in inside.collect()}
+    ties = F.create_map(*[x for v, some in found.items() for x in (_literal(v, kind), F.array(*map(F.lit, some)))])
+    # the hot value is the lower end of its bucket
+    low = F.get(F.array(*ends), F.col(BUCKET) - 1)
+    own = F.size(F.filter(F.element_at(ties, low), lambda c: c <= F.col(tie)))
+    part = F.when(F.element_at(ties, low).isNull(), 0).when(F.col(order) == low, own).otherwise(most)
+    return bucketed.withColumn(BUCKET, F.col(BUCKET) * (most + 1) + F.coalesce(part, F.lit(0)))
+
+
+def _literal(value: object, kind: T.DataType) -> Column:
+    """A collected value as a literal; times go as text, as a literal time would be moved to a zone."""
+    return F.lit(str(value) if isinstance(value, date) else value).cast(kind)
+
+
+def _bucketed(df: DataFrame, order: str, cuts: list[Column]) -> DataFrame:
+    """The number of cuts that are <= ``order``, found by halving."""
+    if not cuts:
+        return df.withColumn(BUCKET, F.lit(0))
+    size = 1 << len(cuts).bit_length()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(size.bit_length() - 1))])
+    held = F.array(*cuts)
+
+    def advance(low: Column, step: Column) -> Column:
+        return F.when(F.get(held, low + step - 1) <= F.col(order), low + step).otherwise(low)
+
+    return df.withColumn(BUCKET, F.aggregate(steps, F.lit(0), advance))
+
+
 def with_hash_bucket(df: DataFrame, ids: Sequence[str], seed: int | str) -> DataFrame:
     """Add the md5 sort key ``__hash`` of the ids and, as the bucket, its leading digits scaled to a number of
     buckets that follows the number of rows. Ids are separated by a bar; a null id counts as an empty text."""

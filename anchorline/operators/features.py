@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from anchorline.functions.ordered import row_numbers, with_order_bucket
+from anchorline.functions.ordered import row_numbers, with_tie_bucket
 from anchorline.functions.times import plus_hours, strictly_between
 from anchorline.operators.intervals import point_in_interval_join
 
@@ -127,9 +127,10 @@ def sequence_numbers(
 ) -> DataFrame:
     """Running number of each measurement in its group by time, ties in a fixed order.
 
-    Reads ``long`` three times (cuts, cell counts, ranks): pass stored rows, not the join itself.
+    Reads ``long`` several times (count, cuts, cell counts, ranks): pass stored rows, not the join itself. Rows of one
+    instant are told apart by the first tie-break, so an instant that holds much of the table covers many cells.
     """
-    return row_numbers(with_order_bucket(long, time), list(group), [time, *ties], "rn")
+    return row_numbers(with_tie_bucket(long, time, ties[0]), list(group), [time, *ties], "rn")
 
 
 def pivot_sequence(long: DataFrame, keys: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
@@ -214,11 +215,14 @@ def feature_stats_unfused(
     return joined
 
 
+SUFFIXES = {"sd": ("sd", "stddev")}  # the file form of the matrix spells deviations out
+
+
 def feature_views(columns: Sequence[str], families: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     """Column lists per family and statistic, for instance ``vital_max``; absent columns are skipped."""
     present = set(columns)
     return {
-        f"{family}_{s}": [f"{c}_{s}" for c in prefixes if f"{c}_{s}" in present]
+        f"{family}_{s}": [f"{c}_{end}" for c in prefixes for end in SUFFIXES.get(s, (s,)) if f"{c}_{end}" in present]
         for family, prefixes in families.items()
         for s in STATISTICS
     }

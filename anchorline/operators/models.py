@@ -221,13 +221,22 @@ def out_of_fold(
     ids: Sequence[str] = (),
     k: int = 5,
     parallelism: int = 4,
+    preparation: Callable[[DataFrame], Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
-    """Every row scored by the model that did not see its fold: ids, fold, y, p."""
+    """Every row scored by the model that did not see its fold: ids, fold, y, p.
+
+    ``preparation`` is fitted on the training rows of each fold and returns what prepares rows, so that no scale and no
+    filled gap knows of the fold's own rows.
+    """
 
     def job(fold: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            model = fit(df.where(F.col("fold") != fold), features, family, settings)
-            held = model.transform(df.where(F.col("fold") == fold))
+            train, test = df.where(F.col("fold") != fold), df.where(F.col("fold") == fold)
+            if preparation:
+                ready = preparation(train)
+                train, test = cut_lineage(ready(train)), ready(test)
+            model = fit(train, features, family, settings)
+            held = model.transform(test)
             return held.select(*ids, "fold", F.col("label").cast("int").alias("y"), positive_probability().alias("p"))
 
         return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,6 +50,24 @@ def minmax_scale(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     return _apply(df, columns, _minmax, _fit(df if fit_on is None else fit_on, columns, ENDS))
 
 
+@dataclass
+class Scaling:
+    """Moments or ends of every column, as fitted; ``how`` is standard, minmax or none."""
+
+    how: str
+    columns: list[str]
+    fitted: dict[str, dict[str, float | None]]
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        form = {"standard": _standard, "minmax": _minmax, "none": lambda c, _: F.col(c)}[self.how]
+        return _apply(df, self.columns, form, self.fitted)
+
+
+def fit_scale(df: DataFrame, columns: Sequence[str], how: str) -> Scaling:
+    makers = {"standard": MOMENTS, "minmax": ENDS, "none": {}}[how]
+    return Scaling(how, list(columns), _fit(df, columns, makers) if makers else {c: {} for c in columns})
+
+
 def scale(df: DataFrame, columns: Sequence[str], how: str) -> DataFrame:
     return {"none": lambda d, c: d, "standard": standard_scale, "minmax": minmax_scale}[how](df, columns)
 

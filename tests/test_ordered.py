@@ -1,5 +1,7 @@
 """Ranks, running totals and quantiles against plain Python, with one group holding most rows."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -74,3 +76,31 @@ def test_ids_are_told_apart(spark):
     from anchorline.functions.ordered import with_hash_bucket
 
     assert with_hash_bucket(df, ["a", "b"], 1).select("__hash").distinct().count() == 2
+
+
+def test_one_instant_covers_many_cells(spark, monkeypatch):
+    """A third of the rows share one instant of one group; they are numbered right, and no cell holds many of them."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from anchorline.functions import ordered
+
+    rng = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    times = [start + datetime.timedelta(hours=500 if rng.random() < 0.33 else rng.randint(0, 1000)) for _ in range(6000)]
+    rows = [(i, "g" if rng.random() < 0.9 else None, t) for i, t in enumerate(times)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, g string, at timestamp_ntz").repartition(3)
+    bucketed = ordered.with_tie_bucket(df, "at", "id")
+    largest = bucketed.groupBy(ordered.BUCKET).count().agg(F.max("count")).first()[0]
+    assert largest < 200
+    got = {r["id"]: r["rn"] for r in ordered.row_numbers(bucketed, ["g"], ["at", "id"], "rn").collect()}
+    expected = {}
+    for g in ("g", None):
+        for n, (_, i) in enumerate(sorted((t, i) for i, own, t in rows if own == g), 1):
+            expected[i] = n
+    assert got == expected
+    assert ordered.with_tie_bucket(df.limit(0), "at", "id").count() == 0
+    one = spark.createDataFrame([(i, start) for i in range(500)], "id long, at timestamp_ntz")
+    assert ordered.with_tie_bucket(one, "at", "id").select(ordered.BUCKET).distinct().count() > 20
