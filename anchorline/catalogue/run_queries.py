@@ -115,13 +115,13 @@ def prepare_impute_first(spark, sf_dir):
     return _prepared(spark, sf_dir, IMPUTE_FIRST)
 
 
-def _regressions(grid=models.LOGISTIC_GRID) -> Suite:
-    return Suite(logistic=models.logistic(grid), models=("lr",))
+def _regressions() -> Suite:
+    return Suite(logistic=models.logistic({"C": [1.0]}), models=("lr",))
 
 
 @query("run_windows")
 def run_windows(spark, sf_dir):
-    """Sources to stored scores of five windows: the whole grid of the logistic regression, outcome of seven days."""
+    """Sources to stored scores of five windows: the logistic regression at C = 1, outcome of seven days."""
     path = scratch_path(spark, "window-scores")
     return ledger.run_windows(
         sources(spark, sf_dir), window_runs("micro"), hospital.NAMES, path, [7], _regressions(), SCALE_FIRST, FAMILY_COLUMNS,
@@ -131,7 +131,7 @@ def run_windows(spark, sf_dir):
 
 def _swept(spark, settings) -> DataFrame:
     path = scratch_path(spark, "sweep-scores")
-    return ledger.sweep(spark, settings, KEYS, hospital.NAMES, path, [7], _regressions({"C": [1.0]}))
+    return ledger.sweep(spark, settings, KEYS, hospital.NAMES, path, [7], _regressions())
 
 
 def _filled(spark, sf_dir) -> DataFrame:

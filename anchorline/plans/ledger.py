@@ -7,6 +7,7 @@ are skipped before their rows are made.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from anchorline.operators import features as feats, labels, quality
 from anchorline.operators.models import in_threads
 from anchorline.plans.runs import (
-    CLINICAL_COLUMNS, SCALE_THEN_IMPUTE, SPECIMEN_KEYS, Sources, Suite, prepare, run_all_targets, specimen_matrices,
+    CLINICAL_COLUMNS, SCALE_THEN_IMPUTE, SPECIMEN_KEYS, Sources, Suite, prepare, score_predictions, specimen_matrices,
+    suite_predictions,
 )
 from anchorline.session import cut_lineage
 from anchorline.sources import tables
@@ -37,21 +39,43 @@ def sweep(
     path: str,
     targets: Targets = labels.TARGETS,
     suite: Suite | None = None,
+    censor_hours: int | None = None,
+    label_anchor: str = "anchor_time",
     side_by_side: int = 4,
-    **options,
+    scored_at_once: int = 16,
 ) -> DataFrame:
     """The stored scores of all settings. A setting, by run id, makes its prepared rows and names its feature columns when it
-    is run; ``options`` go to ``run_all_targets``. Settings are submitted ``side_by_side``: a fit runs many small jobs, and
-    the waits of one setting are filled by the others."""
+    is run; see ``run_all_targets`` for censoring, anchor and stored choices.
+
+    Settings are submitted ``side_by_side``: a fit runs many small jobs, and the waits of one setting are filled by the
+    others. The predictions of ``scored_at_once`` settings are scored and stored together.
+    """
+    done = tables.stored_runs(spark, path)
+    spans = labels.target_spans(targets)
 
-    def job(run_id: str) -> Callable[[], None]:
-        def run() -> None:
+    def job(run_id: str) -> Callable[[], list[DataFrame]]:
+        def run() -> list[DataFrame]:
             rows, columns = settings[run_id]()
-            run_all_targets(rows, ids, columns, families, run_id, path, targets, suite, resume=True, **options)
+            rows = cut_lineage(labels.censor_early(rows, censor_hours) if censor_hours is not None else rows)
+            views = {name: cols for name, cols in feats.feature_views(columns, families).items() if cols}
+            out = []
+            for start, end in spans:
+                if (run_id, start, end) not in done:
+                    labelled = labels.label_outcome(rows, start, end, label_anchor)
+                    choices = f"{path}-choices/{run_id}/{start}-{end}"
+                    found, _ = suite_predictions(labelled, ids, columns, views, suite or Suite(), choices)
+                    named = {"run_id": F.lit(run_id), "target_start": F.lit(start), "target_end": F.lit(end)}
+                    out.append(found.select("model", "fold", "y", "p").withColumns(named))
+            return out
 
         return run
 
-    in_threads(spark, [job(r) for r in missing_runs(spark, path, list(settings), targets)], side_by_side)
+    missing = missing_runs(spark, path, list(settings), targets)
+    for a in range(0, len(missing), scored_at_once):
+        made = in_threads(spark, [job(r) for r in missing[a : a + scored_at_once]], side_by_side)
+        predictions = cut_lineage(reduce(DataFrame.unionByName, [p for some in made for p in some]))
+        group = ["run_id", "target_start", "target_end", "model", "fold"]
+        tables.store_scores(score_predictions(predictions, group), path)
     wanted = F.col("run_id").isin(list(settings))
     return tables.load_scores(spark, path).where(wanted)
 
@@ -103,7 +127,7 @@ def run_windows(
     open_runs = {r: runs[r] for r in missing_runs(spark, path, list(runs), targets)}
     if open_runs:
         settings = prepared_runs(sources, open_runs, steps, columns, anchor, f"{path}-work", **options)
-        sweep(spark, settings, SPECIMEN_KEYS, families, path, targets, suite, censor_hours=censor_hours, label_anchor=label_anchor)
+        sweep(spark, settings, SPECIMEN_KEYS, families, path, targets, suite, censor_hours, label_anchor)
     return tables.load_scores(spark, path).where(F.col("run_id").isin(list(runs)))
 
 

@@ -161,12 +161,24 @@ def _tuned(df: DataFrame, features: Sequence[str], family: models.Family, suite:
 def run_model_suite(
     df: DataFrame, ids: Sequence[str], features: Sequence[str], views: Mapping[str, Sequence[str]], suite: Suite,
     choices: str | None = None,
+) -> tuple[DataFrame, list[str]]:
+    """Tidy out-of-fold scores (model, fold, metric, value) of ``suite_predictions``, scored in one go, and the selection."""
+    predictions, selected = suite_predictions(df, ids, features, views, suite, choices)
+    return score_predictions(predictions, ["model", "fold"]), selected
+
+
+def score_predictions(predictions: DataFrame, group: Sequence[str]) -> DataFrame:
+    return scores_long(score_table(predictions, list(group)), list(group), METRICS)
+
+
+def suite_predictions(
+    df: DataFrame, ids: Sequence[str], features: Sequence[str], views: Mapping[str, Sequence[str]], suite: Suite,
+    choices: str | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Up to ten models on one labelled, prepared frame: four families on all and on selected features, and
-    two stacked ones. Returns tidy out-of-fold scores (model, fold, metric, value) and the selection.
+    two stacked ones. Returns the out-of-fold predictions of all models, checkpointed, and the selection.
 
-    Out-of-fold predictions of all models form one checkpointed table, scored in one go. First-level
-    settings are tuned on the training part only, on the first view. With ``choices``, a folder, the selected features and
+    First-level settings are tuned on the training part only, on the first view. With ``choices``, a folder, the selected features and
     tuned settings are stored there as soon as they are found, and a run that finds them there uses them.
     """
     spark = df.sparkSession
@@ -220,8 +232,7 @@ def run_model_suite(
     predictions = cut_lineage(reduce(DataFrame.unionByName, parts))
     for cached in made:
         cached.unpersist()
-    group = ["model", "fold"]
-    return scores_long(score_table(predictions, group), group, METRICS), selected
+    return predictions, selected
 
 
 def run_all_targets(
