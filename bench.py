@@ -20,7 +20,8 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 HEADLINE = [
     "cohort", "join_window", "feature_stats_all", "join_matrix", "sequence_number", "reject_outliers_vitals",
     "sweep_windows", "label_multi_target", "stratified_folds", "sample_class_ratio", "metric_auroc", "scores_wide",
-    "column_profile", "impute_median", "impute_chained", "impute_em", "impute_knn", "fit_logistic",
+    "column_profile", "impute_median", "impute_chained", "impute_em", "impute_knn", "fit_logistic", "select_forward",
+    "prepare_scale_first", "impute_compare_constants",
 ]
 
 
