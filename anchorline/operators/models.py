@@ -71,12 +71,19 @@ def model_frame(
     return fit_sized(stratified_folds(cut_lineage(rows), "label", ids, k, seed), len(features))
 
 
-def fit_sized(df: DataFrame, width: int, part_bytes: int = 128 << 20) -> DataFrame:
-    """Stored rows in partitions of about 128 MB of features. A fit runs one small job per iteration, so on little
-    data the number of tasks, and not the data, would set its time; on much data the count grows with it. The rows are
-    stored before they are counted, so nothing upstream runs twice."""
+TASK_CELLS = 1 << 18  # numbers a task of a fit is worth starting for
+TASK_PRODUCTS = 1 << 26  # the same in products of a row and a weight, of which a perceptron has tens of thousands
+
+
+def fit_sized(df: DataFrame, width: int, part_bytes: int = 32 << 20) -> DataFrame:
+    """Stored rows in as many partitions as there are cores, if each then holds TASK_CELLS numbers, and in more if they
+    would hold over 32 MB. A fit runs one small job per iteration, so on little data the number of tasks, and not the
+    data, would set its time; on much data the cores do. The rows are stored before they are counted, so nothing
+    upstream runs twice."""
     stored = cut_lineage(df)
-    return stored.coalesce(max(1, -(-stored.count() * width * 8 // part_bytes)))
+    cells = stored.count() * width
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return stored.coalesce(max(1, min(cores, -(-cells // TASK_CELLS)), -(-cells * 8 // part_bytes)))
 
 
 def with_weights(df: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -120,6 +127,16 @@ class Family:
             return MultilayerPerceptronClassifier(layers=[width, hidden, hidden, 2], **columns, **options)
         return GBTClassifier(**columns, **options)
 
+    def spread(self, df: DataFrame, width: int, rows: int) -> DataFrame:
+        """The rows for a fit. A perceptron meets every row with all its weights, so that rows which fill one partition
+        may be work for all cores; they are dealt anew once, as the fit holds what it reads."""
+        if self.name != "mlp":
+            return df
+        hidden = self.fixed.get("hidden", MLP_ALL)
+        products = rows * (width * hidden + hidden * hidden + 2 * hidden)
+        parts = min(df.sparkSession.sparkContext.defaultParallelism, products // TASK_PRODUCTS)
+        return df.repartition(parts) if parts > max(1, df.rdd.getNumPartitions()) else df
+
     def weights(self) -> list[float]:
         listed = [*self.grid.get("positiveWeight", [])]
         if "positiveWeight" in self.fixed:
@@ -151,9 +168,9 @@ def positive_probability() -> Column:
 
 def fit(df: DataFrame, features: Sequence[str], family: Family, settings: Mapping[str, object] | None = None) -> PipelineModel:
     """Fit one model on all rows given."""
-    rows = df.count() if family.name == "lr" else 0
+    rows = df.count() if family.name in ("lr", "mlp") else 0
     settings = dict(settings or {})
-    weighted = with_weights(df, [*family.weights(), *[v for k, v in settings.items() if k == "positiveWeight"]])
+    weighted = with_weights(family.spread(df, len(features), rows), [*family.weights(), *[v for k, v in settings.items() if k == "positiveWeight"]])
     return Pipeline(stages=[assemble(features), family.estimator(settings, len(features), rows)]).fit(weighted)
 
 

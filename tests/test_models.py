@@ -115,3 +115,16 @@ def test_batch_scores_are_stored(frame, tmp_path):
     model = models.fit(frame, FEATURES, FAMILIES[1], {"C": 1.0})
     stored = models.batch_score(model, frame, ["id"], str(tmp_path / "batch"))
     assert stored.count() == 160 and set(stored.columns) == {"id", "p"}
+
+
+def test_a_fit_uses_the_cores_its_rows_are_worth(spark):
+    columns = [f"c{j}" for j in range(24)]
+    rows = spark.range(60_000).select("id", *[F.rand(j).alias(c) for j, c in enumerate(columns)])
+    cores = spark.sparkContext.defaultParallelism
+    sized = models.fit_sized(rows.repartition(16), 24)
+    assert sized.rdd.getNumPartitions() == min(cores, 6) and sized.count() == 60_000
+    assert models.fit_sized(rows.limit(100), 24).rdd.getNumPartitions() == 1
+    one = sized.coalesce(1)
+    assert models.perceptron().spread(one, 24, 60_000).rdd.getNumPartitions() == cores
+    assert models.perceptron(10).spread(one, 24, 60_000).rdd.getNumPartitions() == 1
+    assert models.logistic().spread(one, 24, 60_000).rdd.getNumPartitions() == 1
