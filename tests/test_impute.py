@@ -92,6 +92,27 @@ def test_knn_visits_few_leaves(spark):
         assert (bounds[unit][both.any(axis=1)] <= distance[both.any(axis=1)]).all()
 
 
+def test_knn_copies_a_row_to_few_shelves(spark):
+    """Where bounds skip nothing, a row is sent to no more shelves, and a donor to no more blocks, than SHELVES and one."""
+    x = np.random.default_rng(3).normal(size=(4000, 6))
+    x[np.random.default_rng(4).random(x.shape) < 0.2] = np.nan
+    columns = [f"c{j}" for j in range(6)]
+    base = cut_lineage(wide_frame(spark, x).select(F.lit(0).alias(GROUP), "id", *columns))
+    index = knn.build_index(base, columns, 1, leaf_rows=64, part_rows=64)
+    queries = index.queries()
+    most = queries.count() * (knn.SHELVES + 1)
+    assert index.visits(queries, False).count() <= most and index.blocks <= knn.SHELVES and index.shelves <= knn.SHELVES + 1
+
+
+def test_knn_with_large_numbers_and_ties(spark):
+    """Columns far from zero, on a coarse grid, so that many donors are equally far."""
+    rng = np.random.default_rng(8)
+    x = 1e6 + rng.integers(0, 3, size=(150, 4)).astype(float)
+    x[rng.random(x.shape) < 0.25] = np.nan
+    got = back(impute.impute_knn(frame(spark, x), "id", COLUMNS, k=5, leaf_rows=16, part_rows=8, probe=1))
+    assert got == pytest.approx(brute_knn(x, 5), rel=1e-12)
+
+
 def versions(spark, xs):
     """Several tables in one frame, told apart by ``v``; ids repeat."""
     parts = [frame(spark, x).withColumn("v", F.lit(v)) for v, x in xs.items()]
