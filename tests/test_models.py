@@ -128,3 +128,12 @@ def test_a_fit_uses_the_cores_its_rows_are_worth(spark):
     assert models.perceptron().spread(one, 24, 60_000).rdd.getNumPartitions() == cores
     assert models.perceptron(10).spread(one, 24, 60_000).rdd.getNumPartitions() == 1
     assert models.logistic().spread(one, 24, 60_000).rdd.getNumPartitions() == 1
+
+
+def test_first_level_rows_are_sized_for_fits(spark, monkeypatch):
+    """However many partitions a shuffle left, the fits of small training rows run one task each."""
+    seen, sized = [], stacking.fit_sized
+    monkeypatch.setattr(stacking, "fit_sized", lambda df, width: seen.append(sized(df, width)) or seen[-1])
+    rows = spark.range(200).select(F.rand(1).alias("noise_a"), F.rand(2).alias("telling"), (F.col("id") % 2).cast("double").alias("label"))
+    stacking.fit_first_level(rows.repartition(16), {"left": ["noise_a", "telling"]}, [models.logistic()], {"lr": {"C": 1.0}})
+    assert len(seen) == 1 and seen[0].rdd.getNumPartitions() == 1
