@@ -122,7 +122,7 @@ def test_a_fit_uses_the_cores_its_rows_are_worth(spark):
     rows = spark.range(60_000).select("id", *[F.rand(j).alias(c) for j, c in enumerate(columns)])
     cores = spark.sparkContext.defaultParallelism
     sized = models.fit_sized(rows.repartition(16), 24)
-    assert sized.rdd.getNumPartitions() == min(cores, 6) and sized.count() == 60_000
+    assert sized.rdd.getNumPartitions() == min(cores, 3) and sized.count() == 60_000
     assert models.fit_sized(rows.limit(100), 24).rdd.getNumPartitions() == 1
     one = sized.coalesce(1)
     assert models.perceptron().spread(one, 24, 60_000).rdd.getNumPartitions() == cores
