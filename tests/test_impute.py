@@ -267,6 +267,19 @@ def test_forests_fill_rows_outside_the_sample(spark, grown, monkeypatch):
     assert error(out) < 0.35 * error(np.where(gone, mean, x))
 
 
+def test_forests_pass_over_the_rows_once_a_round_on_all_cores(spark, monkeypatch):
+    """However many columns there are, a round costs all rows one pass, in as many tasks as there are cores."""
+    from anchorline.operators.impute import forest
+
+    x = correlated(300, 10, 1, 0.2, 7, 0.05)
+    names = [f"c{j}" for j in range(10)]
+    stored = []
+    monkeypatch.setattr(forest, "cut_lineage", lambda df: stored.append(df) or df.checkpoint())
+    out = impute.impute_forest(wide_frame(spark, x).coalesce(1), names, max_rounds=1, trees=1, fit_rows=100)
+    assert len(stored) == 2 and out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert not np.isnan(out.select(*names).toPandas().to_numpy()).any()
+
+
 def test_forest_of_categories(spark):
     rng = np.random.default_rng(3)
     kind = rng.integers(0, 3, 200).astype(float)
