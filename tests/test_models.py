@@ -137,3 +137,26 @@ def test_first_level_rows_are_sized_for_fits(spark, monkeypatch):
     rows = spark.range(200).select(F.rand(1).alias("noise_a"), F.rand(2).alias("telling"), (F.col("id") % 2).cast("double").alias("label"))
     stacking.fit_first_level(rows.repartition(16), {"left": ["noise_a", "telling"]}, [models.logistic()], {"lr": {"C": 1.0}})
     assert len(seen) == 1 and seen[0].rdd.getNumPartitions() == 1
+
+
+def test_grid_search_holds_the_rows_once(spark, monkeypatch):
+    """No copy of the rows per fold, the scores of plain fits, and folds that must all be there."""
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 7 > 3), i % 3) for i in range(210)], "a double, b double, label double, fold int")
+    held = []
+    kind = type(rows)
+    persist, cache = kind.persist, kind.cache
+    monkeypatch.setattr(kind, "persist", lambda df, *a: held.append(df) or persist(df, *a))
+    monkeypatch.setattr(kind, "cache", lambda df: held.append(df) or cache(df))
+    family = models.logistic({"C": [1.0, 1e-6]})
+    best, tried = models.tune_grid(rows, ["a", "b"], family, k=3, parallelism=2)
+    assert len(held) == 1 and best == {"C": 1.0}
+    for candidate in tried:
+        right = []
+        for fold in range(3):
+            estimator = family.estimator(candidate["settings"], 2, 140)
+            data = models.assemble(["a", "b"]).transform(rows)
+            found = estimator.fit(data.where(F.col("fold") != fold)).transform(data.where(F.col("fold") == fold))
+            right.append(found.select(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0])
+        assert candidate["score"] == pytest.approx(sum(right) / 3)
+    with pytest.raises(ValueError):
+        models.tune_grid(rows.where("fold < 2"), ["a", "b"], family, k=3)
