@@ -274,15 +274,18 @@ def predict_language(docs: DataFrame, model: ByteNetwork | None, doc_id: str = "
     return map_arrow(rows, predict, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with a score of at least ``least``; all columns stay.
+def keep_known(
+    docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, text: str = "text", lang: str | None = None
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of at least ``least``; all columns stay. A column named
+    as ``lang``, of strings, gets the language found.
 
     A text has one of the model's languages if it has a letter, LEAST_LETTERS of its bytes are letters, and its letters
     follow one another as in the training texts (LEAST_LIKELY). Texts of a dozen letters or fewer, and of a few dozen in a near language, are too short for
     the last test and pass it. Without a model no row stays.
     """
     flagged = docs.select("*", has_letter(text).alias(fresh_name(docs, "__letters")))
-    at = docs.columns.index(text)
+    at, told = docs.columns.index(text), None if lang is None else docs.columns.index(lang)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pair_tables() if model else None
@@ -294,6 +297,10 @@ def keep_known(docs: DataFrame, model: ByteNetwork | None, least: float = 0.0, t
             if likely is not None:
                 total, letters, size = letter_sums(batch.column(at), likely)
                 stays &= (letters >= LEAST_LETTERS * size) & (total >= LEAST_LIKELY * letters - DOUBT)
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(stays))
+            out = batch.select(range(batch.num_columns - 1))
+            if told is not None:
+                names = [model.languages[i] if i >= 0 else UNKNOWN for i in best]
+                out = out.set_column(told, lang, pa.array(names, pa.string()))
+            yield out.filter(pa.array(stays))
 
     return map_arrow(flagged, keep, docs.schema)

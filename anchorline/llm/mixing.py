@@ -8,6 +8,8 @@
    moved by projected gradient steps on the squared distance between expected totals and targets, measured by the
    inverse of sum n p p'. A step needs only the domain totals, so a round is one small aggregate over the stored
    probabilities, and a rate is a function of the document's own probabilities and the steps so far.
+3. A mixture may be balanced by a column of few values (languages) first: documents count by the factor that brings each
+   value's share of the tokens to a power of it, and the rates are fitted to what these factors leave.
 
 Everything runs as DataFrame expressions. The sampled ids are broadcast, so no text is shuffled. What reaches the driver
 has a size set by the number of domains, SLOTS, EVIDENCE and SAMPLE_EACH.
@@ -16,7 +18,7 @@ has a size set by the number of domains, SLOTS, EVIDENCE and SAMPLE_EACH.
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -172,6 +174,22 @@ def fit_rates(rows: DataFrame, domains: int, targets: list[float], rounds: int =
     return steps
 
 
+def balance(tokens: dict[str | None, float], power: float) -> dict[str | None, float]:
+    """Per value the factor that brings its share of the tokens to this power of the share; the total stays."""
+    whole = sum(tokens.values())
+    shares = {v: n / whole for v, n in tokens.items() if n > 0}
+    powers = sum(s**power for s in shares.values())
+    return {v: s ** (power - 1) / powers for v, s in shares.items()}
+
+
+def _factor(column: str, factors: dict[str | None, float]) -> Column:
+    """Factor of a row's value; 1 for values without tokens."""
+    out = F.lit(1.0)
+    for value, factor in factors.items():
+        out = F.when(F.col(column).eqNullSafe(F.lit(value)), float(factor)).otherwise(out)
+    return out
+
+
 @dataclass
 class Mixture:
     """What a fitted mixture needs to rate further rows."""
@@ -180,6 +198,8 @@ class Mixture:
     odds: list[dict[int, float]]
     curves: np.ndarray
     steps: list[np.ndarray]
+    balanced: str | None = None  # column whose values have the factors
+    factors: dict[str | None, float] = field(default_factory=dict)
 
     def rated(self, rows: DataFrame) -> DataFrame:
         """Add ``domain`` and ``rate`` to rows with ``n`` and ``p``."""
@@ -187,10 +207,13 @@ class Mixture:
         return rows.select("*", F.element_at(F.array(*map(F.lit, self.domains)), best).alias("domain"), _rate(F.col("p"), self.steps).alias("rate"))
 
     def drawn(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """The rows of ``docs``, each as often as its rate says: its whole part, and once more with the odds of the
-        rest, drawn by a hash of the text. All columns stay. Narrow: nothing is joined or shuffled."""
-        inputs = with_inputs(docs.select(F.struct("*").alias("__row"), F.col(text).alias("text")), self.odds)
-        rated = self.rated(inputs.select("__row", "text", "n", posteriors(inputs, self.curves).alias("p")))
+        """The rows of ``docs``, each as often as its rate, times its factor, says: its whole part, and once more with the
+        odds of the rest, drawn by a hash of the text. All columns stay. Narrow: nothing is joined or shuffled."""
+        factor = _factor(self.balanced, self.factors) if self.balanced else F.lit(1.0)
+        held = docs.select(F.struct("*").alias("__row"), F.col(text).alias("text"), factor.alias("factor"))
+        inputs = with_inputs(held, self.odds)
+        rated = self.rated(inputs.select("__row", "text", "factor", "n", posteriors(inputs, self.curves).alias("p")))
+        rated = rated.withColumn("rate", F.col("rate") * F.col("factor"))
         draw = F.pmod(F.xxhash64("text", F.lit("mixture")), F.lit(1 << 30)) / float(1 << 30)
         copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")
         often = rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
@@ -199,16 +222,18 @@ class Mixture:
 
 def fit_mixture(
     docs: DataFrame, labels: DataFrame, keep: dict[str, float], doc_id: str = "doc_id", text: str = "text",
-    as_kept: bool = False, sample_each: int = SAMPLE_EACH,
+    as_kept: bool = False, sample_each: int = SAMPLE_EACH, balanced: str | None = None, power: float = 1.0,
 ) -> tuple[Mixture, DataFrame]:
     """Fit classifier and rates; returns them and the rows (doc_id, n, p) they were fitted on.
 
     ``keep`` names the domains and the share of its expected tokens that each shall hold. With ``as_kept`` the targets
     are instead the totals that come out if every document is kept at the mean share of its domains, which no rate
-    above 1 is needed for.
+    above 1 is needed for. ``balanced`` names a column of few values whose shares of the tokens are brought to ``power``
+    of them before the rates are fitted (``balance``).
     """
     domains, shares = list(keep), list(keep.values())
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    value = [F.col(balanced).alias("value")] if balanced else []
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *value)
     known = labels.where(F.col("domain").isin(domains)).select(F.col(doc_id).alias("doc_id"), "domain").where("doc_id IS NOT NULL")
     picked = F.broadcast(bounded_sample(known, "domain", ["doc_id"], sample_each))
     odds = word_odds(rows.join(picked, "doc_id").select("text", "domain"), domains)
@@ -223,11 +248,15 @@ def fit_mixture(
         seen_of, all_of = int((drawn == k).sum()), there.get(domain, 0)
         if 0 < seen_of < len(drawn) and 0 < all_of < sum(there.values()):
             curves[k, 0] += np.log(all_of / (sum(there.values()) - all_of)) - np.log(seen_of / (len(drawn) - seen_of))
-    held = cut_lineage(seen.select("doc_id", "n", posteriors(seen, curves).alias("p")))
+    held = cut_lineage(seen.select("doc_id", "n", posteriors(seen, curves).alias("p"), *[c for c in seen.columns if c == "value"]))
     weight = _dot(F.col("p"), shares) if as_kept else F.lit(1.0)
-    totals = held.agg(*[F.sum(F.col("n") * F.get("p", k) * weight).alias(f"t{k}") for k in range(len(domains))]).first()
+    counted, factors = held, {}
+    if balanced:
+        factors = balance(dict(held.groupBy("value").agg(F.sum("n")).collect()), power)
+        counted = held.withColumn("n", F.col("n") * _factor("value", factors))
+    totals = counted.agg(*[F.sum(F.col("n") * F.get("p", k) * weight).alias(f"t{k}") for k in range(len(domains))]).first()
     targets = [(t or 0.0) * (1.0 if as_kept else s) for t, s in zip(totals, shares, strict=True)]
-    return Mixture(domains, odds, curves, fit_rates(held, len(domains), targets)), held
+    return Mixture(domains, odds, curves, fit_rates(counted, len(domains), targets), balanced, factors), held.select("doc_id", "n", "p")
 
 
 def soft_mixture(

@@ -12,11 +12,14 @@ TOKENIZER = "byte_bpe_50k.json"
 
 #: Share of its tokens that each domain keeps in the mixture.
 KEEP = {"clean": 1.0, "low": 0.5, "toxic": 0.1}
+#: A language's share of the mixture follows this power of its share of the tokens, so that rare ones get less rare.
+LANGUAGE_POWER = 0.7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages: other languages, noise and texts without letters go."""
-    return language.keep_known(docs, language.fit_language(docs.where(~crc_held_out())))
+    """Documents in one of the labelled languages, with the language found as ``lang``, by which the mixture is balanced:
+    other languages, noise and texts without letters go."""
+    return language.keep_known(docs, language.fit_language(docs.where(~crc_held_out())), lang="lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +33,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their rates: poor and toxic ones get rarer, the rest stays, a few of them twice."""
+    """Documents drawn by their rates: languages are brought nearer to each other in size, then poor and toxic documents get
+    rarer; some of a rare language come twice."""
     labels = table(spark, sf_dir, "labels").withColumn("domain", mixing.quality_domain())
-    fitted, _ = mixing.fit_mixture(docs, labels, KEEP)
+    fitted, _ = mixing.fit_mixture(docs, labels, KEEP, balanced="lang", power=LANGUAGE_POWER)
     return fitted.drawn(docs)
 
 
