@@ -17,8 +17,8 @@ LANGUAGE_POWER = 0.7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the labelled languages, with the language found as ``lang``, by which the mixture is balanced:
-    other languages, noise and texts without letters go."""
+    """Documents in one of the labelled languages: other languages, noise and texts without letters go. Documents without a
+    ``lang``, or surely with a wrong one, get the language found; the mixture is balanced by it."""
     return language.keep_known(docs, language.fit_language(docs.where(~crc_held_out())), lang="lang")
 
 

@@ -4,8 +4,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from anchorline.llm import mixing, stages
+from anchorline.llm import language, mixing, stages
 
 WORDS = {
     "de": "der und nicht auch wird zwischen straße schön größe wenig über durch gegen jedoch weiter immer".split(),
@@ -36,6 +37,18 @@ def test_language_stage_tells_the_language(spark, mixed):
     assert found == {i: "de" if i % 4 == 0 else "en" for i in range(1200)}
 
 
+def test_given_languages_stay_unless_the_score_is_sure(spark, mixed):
+    docs, _ = mixed
+    model = language.fit_language(docs)
+    wrong = docs.where("doc_id < 40").withColumn("lang", F.lit("xx"))
+    kept = {r["doc_id"]: r["lang"] for r in language.keep_known(wrong, model, lang="lang").collect()}
+    scores = {r["doc_id"]: r for r in language.predict_language(wrong, model).collect()}
+    assert kept == {i: r["lang_pred"] if r["score"] >= language.SURE else "xx" for i, r in scores.items()}
+    model.offset = model.offset * 0
+    model.weights = model.weights * 0
+    assert {r["lang"] for r in language.keep_known(wrong, model, lang="lang").collect()} == {"xx"}
+
+
 def test_mixture_balances_what_the_stage_found(spark, mixed):
     docs, folder = mixed
     count = lambda df: Counter("de" if r["doc_id"] % 4 == 0 else "en" for r in stages.mixture(spark, df, folder).collect())
