@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorline.catalogue import preparation
 from anchorline.operators import impute
-from anchorline.operators.impute import chained, grouped, knn
+from anchorline.operators.impute import chained, em, grouped, knn
 from anchorline.operators.impute.compare import hide_cells
 from anchorline.operators.impute.grouped import GROUP
 from anchorline.session import cut_lineage
@@ -300,3 +300,65 @@ def test_published_order_of_the_methods(spark):
     rows = impute.impute_compare(df, "id", names, methods, [0.1, 0.3]).collect()
     r2 = {(r.method, r.fraction): r.r2 for r in rows}
     assert len(r2) == 12 and all(r2["forest", f] > r2["mean", f] + 0.2 and r2["chained", f] > r2["mean", f] for f in (0.1, 0.3))
+
+
+def test_rows_with_patterns_of_their_own_are_solved_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(2000, 10))
+    z[rng.random(z.shape) < 0.4] = np.nan
+    z[-30:] = np.where(np.arange(10) < 3, np.nan, z[-30:])
+    z[-30:, 3:] = 1.0
+    z = z[np.lexsort(np.isnan(z).T)]
+    mean, cov = rng.normal(size=10), np.cov(rng.normal(size=(40, 10)).T)
+    want, extra = z.copy(), np.zeros((10, 10))
+    for row in want:
+        lacks = np.isnan(row)
+        across = np.linalg.solve(cov[np.ix_(~lacks, ~lacks)], cov[np.ix_(~lacks, lacks)])
+        extra[np.ix_(lacks, lacks)] += cov[np.ix_(lacks, lacks)] - cov[np.ix_(lacks, ~lacks)] @ across
+        row[lacks] = mean[lacks] + (row - mean)[~lacks] @ across
+    solved, inverse = [], np.linalg.inv
+    precision = inverse(cov)
+    monkeypatch.setattr(np.linalg, "inv", lambda a: solved.append(a.shape) or inverse(a))
+    got, spread = em.expected(z, mean, precision)
+    assert got == pytest.approx(want) and spread == pytest.approx(extra)
+    assert len(solved) < 40
+
+
+@pytest.mark.parametrize("scale,outlier", [(1.0, 1.0), (1e-25, 1e9), (1e30, 1e25), (1.0, 1e40)])
+def test_pairs_looked_at_in_singles_lose_no_neighbour(scale, outlier):
+    x = matrix(n=400, copies=20) * scale + 5 * scale
+    x[7] *= outlier
+    near = knn.Nearest(x, np.where(np.isnan(x), np.inf, np.nan), 5)
+    for a in range(0, 400, 130):
+        near.meet(np.arange(400), x[a : a + 130], np.arange(400)[a : a + 130])
+    out = np.array(x)
+    found = near.found(np.arange(400)).groupby(["id", "position"])["donor_value"].mean()
+    for (i, j), value in found.items():
+        out[i, j] = value
+    assert out / scale == pytest.approx(brute_knn(x, 5) / scale)
+
+
+def test_few_donors_are_measured_where_all_units_are_met():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 6))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    near = knn.Nearest(x[:200], np.where(np.isnan(x[:200]), np.inf, np.nan), 5)
+    measured, measure = [], near._measure
+    near._measure = lambda r, *rest: (measured.append(len(r)), measure(r, *rest))
+    near.meet(np.arange(200), x, np.arange(4000))
+    assert sum(measured) < 200 * 4000 * 0.025
+
+
+def test_the_scores_of_a_method_are_made_in_its_own_thread(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(df, columns, by):
+        def go(batches):
+            for batch in batches:
+                met.add(batch.num_rows)
+                yield batch
+
+        return impute.impute_mean(df, columns, by).mapInArrow(go, df.schema)
+
+    scores = impute.impute_compare(frame(spark, matrix(copies=0)), "id", COLUMNS, {"counted": counted}, [0.2])
+    assert met.value == 120 and len(scores.collect()) == 1 and met.value == 120
