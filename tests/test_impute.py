@@ -280,6 +280,39 @@ def test_forests_pass_over_the_rows_once_a_round_on_all_cores(spark, monkeypatch
     assert not np.isnan(out.select(*names).toPandas().to_numpy()).any()
 
 
+@pytest.mark.parametrize("node_rows", [None, 1500])
+def test_forests_are_fitted_on_all_rows(spark, node_rows):
+    """What only a single row of a larger table tells is learned from it, however nodes are split."""
+    rng = np.random.default_rng(4)
+    rare = np.repeat(np.arange(0.5, 20.0), 2)
+    a = np.concatenate([rng.integers(0, 20, 12_000).astype(float), rare])
+    b = np.concatenate([rng.normal(size=12_000), np.tile([1000.0, np.nan], 20)])
+    options = {"node_rows": node_rows} if node_rows else {}
+    out = impute.impute_forest(wide_frame(spark, np.column_stack([a, b])), ["c0", "c1"], max_rounds=1, trees=30, **options)
+    got = out.toPandas().sort_values("id")[["c0", "c1"]].to_numpy()
+    seen = ~np.isnan(b)
+    assert got[seen, 1] == pytest.approx(b[seen]) and got[:, 0] == pytest.approx(a)
+    assert len(got) == len(a) and (got[~seen, 1] > 300).all()
+
+
+def test_forests_over_all_rows_by_version_and_category(spark, monkeypatch):
+    """Versions are filled apart, categories get one of their codes, and other columns stay as they are."""
+    from anchorline.operators.impute import forest
+
+    monkeypatch.setattr(forest, "DRIVER_ROWS", 100)
+    rng = np.random.default_rng(3)
+    kind = rng.integers(0, 3, 400).astype(float)
+    x = np.column_stack([kind, kind * 2 + 0.1 * rng.normal(size=400), rng.normal(size=400)])
+    x[:80, 0], x[300:320, 1] = np.nan, np.nan
+    rows = pd.DataFrame(x, columns=list("abc")).assign(id=range(400), t=np.where(np.arange(400) % 2, "odd", None))
+    df = spark.createDataFrame(rows).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in "ab"})
+    for node_rows in (None, 64):
+        out = impute.impute_forest(df, ["a", "b", "c"], ["a"], max_rounds=2, trees=9, by="t", node_rows=node_rows)
+        got = out.toPandas().sort_values("id")
+        assert out.columns == df.columns and got["t"].isna().sum() == 200 and not got[["a", "b", "c"]].isna().any().any()
+        assert (got["a"].to_numpy() == kind).mean() > 0.97 and abs(got["b"] - kind * 2).max() < 1
+
+
 def test_forest_of_categories(spark):
     rng = np.random.default_rng(3)
     kind = rng.integers(0, 3, 200).astype(float)
