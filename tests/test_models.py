@@ -1,5 +1,7 @@
 """Models, stacking, tuning and whole runs on a small frame with one telling feature: what must hold for every fit."""
 
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,30 @@ def test_selection_finds_the_telling_feature_first(frame):
     assert len(models.select_forward(frame, FEATURES[:2], n_select=25, max_depth=2)) == 2
 
 
+def test_selection_over_all_rows_chooses_as_on_few(spark, frame, monkeypatch):
+    """Rows that stay on the executors, their nodes split by sums or not, give the choices and scores of a tree grown whole."""
+    few = models.select_forward(frame, FEATURES, n_select=3, max_depth=6)
+    monkeypatch.setattr(models, "DRIVER_ROWS", 50)
+    for node_rows in (None, 30):
+        found = models.select_forward(frame, FEATURES, n_select=3, max_depth=6, node_rows=node_rows)
+        assert [c["feature"] for c in found] == [c["feature"] for c in few]
+        assert [c["score"] for c in found] == pytest.approx([c["score"] for c in few])
+
+
+def test_selection_sees_every_row(spark):
+    """A feature that tells of less than one row in a thousand is still worth more than noise."""
+    n = 30_000
+    x = spark.range(n).select(
+        "id", (F.col("id") % 5).cast("int").alias("fold"), ((F.col("id") * 7919) % 101).cast("double").alias("noise"),
+        F.when(F.col("id") % 1500 < 5, F.col("id") % 1500 + 1.0).otherwise(0.0).alias("rare"),
+    )
+    rows = x.withColumn("label", F.when(F.col("rare") > 0, 1.0).otherwise(0.0))
+    found = models.select_forward(rows, ["noise", "rare"], n_select=1, max_depth=5)
+    assert found == [{"step": 1, "feature": "rare", "score": 1.0}]
+    noise = models.select_forward(rows, ["noise"], n_select=1, max_depth=1)
+    assert noise[0]["score"] == pytest.approx(1 - 5 / 1500)
+
+
 def test_tuned_settings_are_the_best_of_their_table(spark, frame):
     best, tried = models.tune_grid(frame, FEATURES, models.logistic({"C": [1.0, 0.0001]}))
     rows = models.search_table(spark, tried).collect()
@@ -99,6 +125,24 @@ def test_suite_scores_ten_models(table):
     assert all(r["value"] is None or -1e-9 <= r["value"] <= 1 + 1e-9 for r in rows)
 
 
+def test_suite_queries_run_as_published(monkeypatch):
+    """All target windows, whole grids, all picks and all iterations."""
+    from anchorline.catalogue import model_queries
+
+    asked = {}
+    monkeypatch.setattr(model_queries, "prepared", lambda spark, sf_dir: MagicMock())
+    monkeypatch.setattr(model_queries, "scratch_path", lambda spark, name: name)
+    monkeypatch.setattr(model_queries, "run_model_suite", lambda *a: asked.setdefault("suite", a[4:]) and (None, None))
+    monkeypatch.setattr(model_queries, "run_all_targets", lambda *a, **options: asked.setdefault("targets", options))
+    model_queries.run_model_suite_query(None, "")
+    model_queries.run_all_targets_query(None, "")
+    assert asked["suite"] == (Suite(),)
+    assert asked["targets"] == {"suite": Suite(), "censor_hours": 0}
+    published = Suite()
+    assert published.boosted.grid == models.BOOSTED_GRID and published.n_select == models.SELECTED_FEATURES
+    assert [f.fixed["maxIter"] for f in published.single(False).values()] == [100, 100, 100, 300]
+
+
 def test_rerun_of_a_target_replaces_its_scores(spark, table, tmp_path):
     at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
     dead = F.when(F.col("target"), at + F.expr("INTERVAL 3 DAY"))
