@@ -143,6 +143,21 @@ def test_suite_queries_run_as_published(monkeypatch):
     assert [f.fixed["maxIter"] for f in published.single(False).values()] == [100, 100, 100, 300]
 
 
+def test_stacks_fit_the_published_models(monkeypatch):
+    """All iterations and layers, at settings of the published grids."""
+    from anchorline.catalogue import model_queries
+
+    asked = {}
+    monkeypatch.setattr(model_queries, "frame", lambda spark, sf_dir: None)
+    monkeypatch.setattr(model_queries.labels, "split_train_test", lambda *a: MagicMock())
+    monkeypatch.setattr(model_queries.stacking, "stack_first_level", lambda rows, views, *a: asked.update(zip(("families", "settings"), a)))
+    model_queries.stack_first_level(None, "")
+    assert asked["families"] == [models.boosted(), models.logistic(), models.boosted_2(), models.perceptron()]
+    for family in asked["families"]:
+        chosen = asked["settings"].get(family.name, {})
+        assert set(chosen) == set(family.grid) and all(chosen[n] in tried for n, tried in family.grid.items())
+
+
 def test_rerun_of_a_target_replaces_its_scores(spark, table, tmp_path):
     at = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
     dead = F.when(F.col("target"), at + F.expr("INTERVAL 3 DAY"))
