@@ -12,7 +12,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext, cloudpickle
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -27,6 +27,7 @@ from pyspark.util import inheritable_thread_target
 from anchorline.functions.metrics import METRICS, score_table, scores_long
 from anchorline.operators import all_rows
 from anchorline.operators.labels import stratified_folds
+from anchorline.operators.perceptron import fit_perceptron
 from anchorline.operators.trees import coded, edges_of, grow
 from anchorline.session import cut_lineage
 
@@ -166,12 +167,25 @@ def positive_probability() -> Column:
     return vector_to_array("probability")[1]
 
 
+MATRIX_PRODUCTS = 1 << 31  # of a row and a weight; from so many on a perceptron's pass is worth a job with Python tasks
+
+
+def fitted(estimator: Estimator, df: DataFrame, rows: int) -> Model:
+    """The estimator's model; of a perceptron with much work by ``fit_perceptron``, which does the same in less time."""
+    if isinstance(estimator, MultilayerPerceptronClassifier):
+        layers = estimator.getLayers()
+        if rows * sum(a * b for a, b in zip(layers, layers[1:])) >= MATRIX_PRODUCTS:
+            return fit_perceptron(estimator, df)
+    return estimator.fit(df)
+
+
 def fit(df: DataFrame, features: Sequence[str], family: Family, settings: Mapping[str, object] | None = None) -> PipelineModel:
     """Fit one model on all rows given."""
     rows = df.count() if family.name in ("lr", "mlp") else 0
     settings = dict(settings or {})
     weighted = with_weights(family.spread(df, len(features), rows), [*family.weights(), *[v for k, v in settings.items() if k == "positiveWeight"]])
-    return Pipeline(stages=[assemble(features), family.estimator(settings, len(features), rows)]).fit(weighted)
+    stage = assemble(features)
+    return PipelineModel([stage, fitted(family.estimator(settings, len(features), rows), stage.transform(weighted), rows)])
 
 
 def candidates(grid: Mapping[str, Sequence]) -> list[dict[str, object]]:

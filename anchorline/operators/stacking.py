@@ -8,7 +8,7 @@ from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from anchorline.operators.models import Family, assemble, fit_sized, in_threads, with_weights
+from anchorline.operators.models import Family, assemble, fit_sized, fitted, in_threads, with_weights
 
 
 def fit_first_level(
@@ -31,7 +31,7 @@ def fit_first_level(
     def job(family: Family, view: str) -> Callable[[], Model]:
         def run() -> Model:
             estimator = family.estimator(settings.get(family.name, {}), len(views[view]), rows)
-            return estimator.setFeaturesCol(f"view_{view}").fit(wide)
+            return fitted(estimator.setFeaturesCol(f"view_{view}"), wide, rows)
 
         return run
 

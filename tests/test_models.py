@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from anchorline.functions.metrics import METRICS, score_table, scores_long
 from anchorline.operators import labels, models, stacking
+from anchorline.operators.perceptron import minimised, passed
 from anchorline.plans.runs import Suite, run_all_targets, run_model_suite
 
 FEATURES = ["noise_a", "noise_b", "telling", "noise_c"]
@@ -100,6 +101,33 @@ def test_tuned_settings_are_the_best_of_their_table(spark, frame):
     assert set(best) >= {"maxDepth", "positiveWeight", "maxIter"} and models.search_table(spark, tried).count() == 4
 
 
+def test_perceptrons_of_many_rows_take_the_same_steps(spark, frame, monkeypatch):
+    """Fitted with matrix products in tasks, a perceptron ends where MLlib's does, but for rounding."""
+    family = models.perceptron(7, maxIter=12)
+    rows = frame.repartition(3, "id").persist()
+    usual = models.fit(rows, FEATURES, family)
+    monkeypatch.setattr(models, "MATRIX_PRODUCTS", 0)
+    monkeypatch.setattr(models.Family, "spread", lambda self, df, *a: df)
+    other = models.fit(rows, FEATURES, family)
+    assert list(other.stages[1].weights) == pytest.approx(list(usual.stages[1].weights), abs=1e-8)
+    said = [{r["id"]: r["p"] for r in m.transform(rows).select("id", models.positive_probability().alias("p")).collect()} for m in (usual, other)]
+    assert said[1] == pytest.approx(said[0], abs=1e-8)
+
+
+def test_a_perceptron_settles_where_the_loss_is_least():
+    rng = np.random.default_rng(0)
+    spread = np.exp(rng.uniform(-2, 2, 12))
+    found = minimised(lambda x: (float((spread * (x - 3) ** 2).sum() + 1), 2 * spread * (x - 3)), rng.normal(size=12), 200, 1e-12)
+    assert found == pytest.approx(np.full(12, 3.0), abs=1e-4)
+    x, y = rng.normal(size=(9, 4)), rng.integers(0, 2, 9)
+    weights, share = rng.normal(size=4 * 3 + 3 + 3 * 2 + 2), np.full(9, 1 / 9)
+    loss, gradient = passed(weights, [4, 3, 2], x, y, share)
+    for j in range(len(weights)):
+        step = np.eye(len(weights))[j] * 1e-6
+        slope = (passed(weights + step, [4, 3, 2], x, y, share)[0] - passed(weights - step, [4, 3, 2], x, y, share)[0]) / 2e-6
+        assert gradient[j] == pytest.approx(slope, abs=1e-6)
+
+
 def test_stacking_columns_and_rows(frame):
     split = labels.split_train_test(frame, 0.5, ["id"]).persist()
     out = stacking.stack_first_level(split, VIEWS, FAMILIES, SETTINGS, ["id"])
